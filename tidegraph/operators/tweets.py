@@ -139,3 +139,11 @@ def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
 def count_messages(counts: DataFrame) -> DataFrame:
     """``word|count`` messages of word counts."""
     return counts.select(F.concat_ws("|", "word", F.col("count").cast("string")).alias("message"))
+
+
+def latest_messages(published: DataFrame, message_col: str, number_col: str) -> DataFrame:
+    """The newest message of each word among those of successive updates."""
+    word = F.regexp_extract(message_col, r"^(.*)\|\d+$", 1)
+    return published.groupBy(word.alias("word")).agg(
+        F.max_by(message_col, number_col).alias("message")
+    ).select("message")

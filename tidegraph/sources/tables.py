@@ -12,17 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as commands: visits add edges from users to pages, signups
-    add users, errors remove an edge or a user. A thousand events are a batch."""
-    e = table(spark, sf_dir, "events")
+def as_commands(events: DataFrame) -> DataFrame:
+    """Events as commands: visits add edges from users to pages, signups add
+    users, errors remove an edge or a user. A thousand events are a batch."""
     event_type, event_id = F.col("event_type"), F.col("event_id")
     visit = event_type.isin("click", "view", "purchase")
     undo = (event_type == "error") & (event_id % 10 != 0)
     undone = (
         F.when(event_id % 3 == 0, "click").when(event_id % 3 == 1, "view").otherwise("purchase")
     )
-    return e.select(
+    return events.select(
         event_id.alias("seq"),
         F.expr("event_id div 1000").alias("batch_id"),
         "ts",
@@ -37,6 +36,11 @@ def event_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`as_commands` of the ``events`` table."""
+    return as_commands(table(spark, sf_dir, "events"))
+
+
 def order_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as messages: a customer writes to a supplier, returned
     parts appear as contributors, the priority is the text."""
