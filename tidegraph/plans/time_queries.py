@@ -21,7 +21,7 @@ _AT_MILLIS = f"epoch_ms(timestamp '{AS_OF}')"
 
 # Every batch saves a graph when it ends, beside a folder that is no snapshot.
 _SAVED = """saved as (
-  select cast(epoch_ms(max(ts)) as bigint) as snapshot_ts from commands group by batch_id)"""
+  select epoch_us(max(ts)) // 1000 as snapshot_ts from commands group by batch_id)"""
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -52,7 +52,7 @@ def nearest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     ctes(COMMANDS, _SAVED)
     + """select seq, (select s.snapshot_ts from saved s
-  order by abs(s.snapshot_ts - epoch_ms(c.ts)), s.snapshot_ts limit 1) as nearest_ts
+  order by abs(s.snapshot_ts - epoch_us(c.ts) // 1000), s.snapshot_ts limit 1) as nearest_ts
 from commands c"""
 )
 def nearest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,16 +85,23 @@ def expiry_stream(commands: DataFrame, ttl_seconds: int, lateness: str) -> DataF
     addition is that old. An addition exactly that old still refreshes, hence
     the extra microsecond. Sessions are merged before the shuffle and dropped
     once the watermark has passed them, so state holds living edges only.
+
+    Spark keeps event time with a time zone; commands stamped without one come
+    back the same way (exactly so in sessions without daylight saving).
     """
+    kind = commands.schema["ts"].dataType
     micros = ttl_seconds * 1_000_000 + 1
     session = F.session_window("ts", f"{micros} microseconds")
     return (
         commands.filter(F.col("op") == ADD_EDGE)
+        .withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", lateness)
         .groupBy(session, *EDGE_KEY)
         .agg(F.count("*").alias("n_adds"))
         .select(
-            (F.col("session_window.end") - F.expr("INTERVAL 1 MICROSECOND")).alias("ts"),
+            (F.col("session_window.end") - F.expr("INTERVAL '0.000001' SECOND"))
+            .cast(kind)
+            .alias("ts"),
             F.lit(RMV_EDGE).alias("op"),
             *EDGE_KEY,
         )
