@@ -11,7 +11,7 @@ from tidegraph.model import empty_graph
 from tidegraph.operators import graph as ops
 from tidegraph.operators import marks, reduction, series, temporal
 
-SEEDS = range(6)
+SEEDS = range(3)
 
 
 def frame(spark, rows):
