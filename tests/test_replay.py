@@ -24,6 +24,11 @@ def test_both_orders(spark, seed):
     commands = frame(spark, rows)
     assert as_sets(marks.build_graph(commands, "ordered")) == in_order(rows)
     assert as_sets(marks.build_graph(commands, "batch")) == in_batches(rows)[:2]
+    for few in (0, 1000):
+        early = marks.build_graph(commands, "ordered", broadcast_rows=few)
+        assert as_sets(early) == in_order(rows)
+        early = marks.build_graph(commands, "batch", broadcast_rows=few)
+        assert as_sets(early) == in_batches(rows)[:2]
 
 
 @pytest.mark.parametrize("seed", SEEDS)

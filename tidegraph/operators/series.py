@@ -20,9 +20,12 @@ def running_totals(
 
     Keys are summed in buckets of ``width`` consecutive values first; only the
     bucket totals pass through one ordered window, and the rows of a bucket
-    (at most ``width``) through another.
+    (at most ``width``) through another. ``df`` feeds both, so it should end
+    in an aggregation: its shuffle is then run once and read twice.
     """
-    df = df.select(key, *values).withColumn("_bucket", F.floor(F.col(key) / width))
+    # Never null: a null test on one side only would make the two plans differ.
+    bucket = F.coalesce(F.floor(F.col(key) / width), F.lit(-1).cast("long"))
+    df = df.select(key, *values).withColumn("_bucket", bucket)
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         df.groupBy("_bucket")
@@ -79,8 +82,11 @@ def _edge_lives(commands: DataFrame, vertex_steps: DataFrame) -> DataFrame:
 
 
 def _vertex_steps(commands: DataFrame) -> DataFrame:
+    # The null tests are those the joins imply; stated here, they make the
+    # plans of all uses alike, so that the shuffles are shared.
     return (
         vertex_events(commands, "batch_id")
+        .filter(F.col("id").isNotNull() & F.col("batch_id").isNotNull())
         .groupBy("id", "batch_id")
         .agg(
             F.count_if("is_add").alias("n"),

@@ -42,6 +42,12 @@ def graph_edges_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir, "batch").edges
 
 
+@query(ctes(COMMANDS, graph("batch")) + "select src, dst, attr from edges")
+def graph_edges_pruned_early(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commands = event_commands(spark, sf_dir)
+    return marks.build_graph(commands, "batch", broadcast_rows=1_000_000).edges
+
+
 @query(ctes(COMMANDS, graph("batch")) + "select id, attr from vertices")
 def graph_vertices_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir, "batch").vertices
