@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.functions.keys import unique_keys
 from tidegraph.model import Graph
 from tidegraph.operators.graph import triplets
 
@@ -14,9 +15,13 @@ EDGE = ["src", "dst", "attr"]
 
 
 def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of ``left`` that do not occur in ``right``; copies are kept."""
+    """Rows of ``left`` that do not occur in ``right``; copies are kept.
+
+    A row with a null is never taken as equal to another. A row that makes up
+    most of ``left`` is split over tasks by adaptive execution.
+    """
     columns = left.columns
-    return left.join(right.select(*columns), columns, "left_anti").select(*columns)
+    return left.join(unique_keys(right, *columns), columns, "left_anti").select(*columns)
 
 
 def union_all(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -25,13 +30,15 @@ def union_all(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def intersection(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct rows that occur in both."""
-    return left.intersect(right.select(*left.columns))
+    """Distinct rows that occur in both, each side reduced before the shuffle."""
+    both = (F.col("n_left") > 0) & (F.col("n_right") > 0)
+    return side_counts(left, right, left.columns).filter(both).select(*left.columns)
 
 
 def matching_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows of ``left`` whose key occurs in ``right``; copies are kept."""
-    return left.join(right.select(key), key, "left_semi").select(*left.columns)
+    listed = unique_keys(right, key)
+    return left.join(listed, key, "left_semi").select(*left.columns)
 
 
 def sort_by_batch(df: DataFrame, name: str = "batch_id") -> DataFrame:

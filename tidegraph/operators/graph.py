@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.functions.keys import own_shuffle, unique_keys
 from tidegraph.model import (
     ADD_EDGE,
     ADD_NODE,
@@ -34,24 +35,22 @@ def endpoints(edges: DataFrame) -> DataFrame:
 
 def remove_edges(edges: DataFrame, removed: DataFrame) -> DataFrame:
     """All copies of the edges whose (src, attr, dst) is listed go."""
-    return edges.join(removed.select(*EDGE_KEY), EDGE_KEY, "left_anti").select(*edges.columns)
+    listed = unique_keys(removed, *EDGE_KEY)
+    return edges.join(listed, EDGE_KEY, "left_anti").select(*edges.columns)
 
 
 def remove_vertices(vertices: DataFrame, removed: DataFrame) -> DataFrame:
     """All copies of the listed vertices go."""
-    return vertices.join(removed.select("id"), "id", "left_anti").select(*vertices.columns)
-
-
-def _by_endpoints(edges: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    columns = edges.columns
-    for end in ("src", "dst"):
-        edges = edges.join(ids.select(F.col("id").alias(end)), end, how)
-    return edges.select(*columns)
+    listed = unique_keys(removed, "id")
+    return vertices.join(listed, "id", "left_anti").select(*vertices.columns)
 
 
 def remove_incident_edges(edges: DataFrame, removed: DataFrame) -> DataFrame:
     """The edges that start or end at a listed vertex go."""
-    return _by_endpoints(edges, removed, "left_anti")
+    columns, listed = edges.columns, unique_keys(removed, "id")
+    for end in ("src", "dst"):
+        edges = edges.join(listed.withColumnRenamed("id", end), end, "left_anti")
+    return edges.select(*columns)
 
 
 def add_rows(table: DataFrame, added: DataFrame) -> DataFrame:
@@ -66,12 +65,12 @@ def apply_batch(graph: Graph, commands: DataFrame, distinct: bool = True) -> Gra
     ``distinct=False`` keeps copies, as when batches are united as bags.
     """
     attr = F.lit(DEFAULT_VERTEX_ATTR).cast("long").alias("attr")
-    gone = nodes_of(commands, RMV_NODE).distinct()
+    gone = nodes_of(commands, RMV_NODE)
     new_edges = edges_of(commands, ADD_EDGE)
     new_nodes = nodes_of(commands, ADD_NODE).unionByName(endpoints(new_edges))
     edges = add_rows(
         remove_incident_edges(
-            remove_edges(graph.edges, edges_of(commands, RMV_EDGE).distinct()), gone
+            remove_edges(graph.edges, edges_of(commands, RMV_EDGE)), gone
         ),
         new_edges,
     )
@@ -113,12 +112,13 @@ def graph_from_edges(edges: DataFrame, attr: int = DEFAULT_VERTEX_ATTR) -> Graph
 
 def triplets(graph: Graph) -> DataFrame:
     """Each edge with the attributes of both endpoints."""
-    v = graph.vertices
-    return (
-        graph.edges.join(v.select(F.col("id").alias("src"), F.col("attr").alias("src_attr")), "src")
-        .join(v.select(F.col("id").alias("dst"), F.col("attr").alias("dst_attr")), "dst")
-        .select("src", "src_attr", "dst", "dst_attr", "attr")
-    )
+    joined = graph.edges
+    for end in ("src", "dst"):
+        side = graph.vertices.select(
+            own_shuffle("id").alias(end), F.col("attr").alias(end + "_attr")
+        )
+        joined = joined.join(side, end)
+    return joined.select("src", "src_attr", "dst", "dst_attr", "attr")
 
 
 def subgraph(

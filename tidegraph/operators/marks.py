@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.functions.keys import own_shuffle
 from tidegraph.model import (
     ADD_EDGE,
     ADD_NODE,
@@ -127,14 +128,13 @@ def with_endpoint_removals(
 ) -> DataFrame:
     """Add ``src_rmv`` and ``dst_rmv``, the last removal of each endpoint.
 
-    Both joins are many-to-one, so they add no rows. The removal side is
-    broadcast by Spark only where its measured size allows; otherwise a hub's
-    edges are split over tasks by adaptive skew handling, which applies because
-    each join is fed by two shuffles and only the edge side is large.
+    Both joins are many-to-one, so they add no rows. Spark broadcasts the
+    removals only where their measured size allows; otherwise adaptive
+    execution splits a hub's edges over several tasks.
     """
     for end in ("src", "dst"):
         side = removals.select(
-            *by, F.col("id").alias(end), F.col("removed_at").alias(end + "_rmv")
+            *by, own_shuffle("id").alias(end), F.col("removed_at").alias(end + "_rmv")
         )
         edges = edges.join(side, [*by, end], "left")
     return edges

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegraph.functions.keys import own_shuffle
 from tidegraph.model import ADD_EDGE, BATCH, EDGE_KEY, EDGE_OPS, RMV_EDGE, order_key, outlives
 from tidegraph.operators.marks import (
     node_removals,
@@ -86,7 +87,11 @@ def _vertex_steps(commands: DataFrame) -> DataFrame:
     # plans of all uses alike, so that the shuffles are shared.
     return (
         vertex_events(commands, "batch_id")
-        .filter(F.col("id").isNotNull() & F.col("batch_id").isNotNull())
+        .filter(
+            F.col("id").isNotNull()
+            & own_shuffle("id").isNotNull()
+            & F.col("batch_id").isNotNull()
+        )
         .groupBy("id", "batch_id")
         .agg(
             F.count_if("is_add").alias("n"),
@@ -175,6 +180,7 @@ def edge_copies(commands: DataFrame, mode: str = BATCH) -> DataFrame:
         commands.filter(F.col("op") == RMV_EDGE)
         .groupBy(*EDGE_KEY)
         .agg(F.max(key).alias("own_rmv"))
+        .withColumn("src", own_shuffle("src"))
     )
     checked = with_endpoint_removals(adds.join(own, EDGE_KEY, "left"), node_removals(commands, mode))
     alive = outlives(F.col(key), F.col("own_rmv"), mode)
@@ -193,7 +199,7 @@ def vertex_copies(commands: DataFrame, mode: str = BATCH) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     return (
-        adds.join(node_removals(commands, mode), "id", "left")
+        adds.join(node_removals(commands, mode).withColumn("id", own_shuffle("id")), "id", "left")
         .filter(outlives(F.col(key), F.col("removed_at"), mode))
         .groupBy("id")
         .agg(F.sum("n").alias("copies"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidegraph.functions.keys import own_shuffle
 from tidegraph.functions.text import command_text, normalised
 from tidegraph.model import ADD_EDGE, ADD_NODE, ALL_OPS, EDGE_OPS, RMV_EDGE, RMV_NODE
 from tidegraph.session import ensure_checkpoint_dir
@@ -240,6 +241,7 @@ def frame_lines(
         framed.filter(kind == FRAME_OPEN)
         .groupBy(file_col, "frame")
         .agg(F.max_by(header, line_col).alias("_header"))
+        .withColumn("frame", own_shuffle("frame"))
     )
     return (
         framed.filter(kind.isin(*ALL_OPS))
