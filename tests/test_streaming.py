@@ -8,6 +8,7 @@ from replay import ROW, as_sets, in_batches, in_order, random_rows
 
 from tidegraph.operators import expiry, generate
 from tidegraph.sources import commands as lines_in
+from tidegraph.sources import snapshots
 from tidegraph.streaming import jobs
 from tidegraph.streaming.store import GraphStore
 
@@ -47,6 +48,21 @@ def test_files_arriving_in_any_order(spark, tmp_path, ordered):
     assert as_sets(store.graph()) == expected
 
 
+def test_a_saved_stream_can_be_loaded_again(spark, tmp_path):
+    rows, root = random_rows(25, 40), str(tmp_path / "saved")
+    write_batches(tmp_path / "in", rows, range(4))
+    store = GraphStore(spark, str(tmp_path / "marks"))
+    jobs.run_graph(
+        stream(spark, tmp_path / "in"),
+        store,
+        str(tmp_path / "progress"),
+        ONCE,
+        after_batch=jobs.save_each_batch(root),
+    ).awaitTermination()
+    now = int(dt.datetime.now(dt.timezone.utc).timestamp() * 1000)
+    assert as_sets(snapshots.load_old(spark, root, now)) == in_batches(rows)[:2]
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, ROW)
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that later filters and columns read instead of repeating
+    its expression, as filters pushed below a plain column would."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def normalised(line: Column) -> Column:
     """A line without leading and trailing blanks, tabs and line ends."""
-    return F.regexp_replace(line, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    return F.btrim(line, F.lit(" \t\r\n"))
 
 
 def safe_label(text: Column) -> Column:
@@ -30,5 +36,5 @@ def command_text(
 
 
 def words(text: Column) -> Column:
-    """The whitespace-separated words of a text."""
-    return F.filter(F.split(text, r"[ \t\n\r\f]+"), lambda w: F.length(w) > 0)
+    """The whitespace-separated words of a text, with empty ones at its ends."""
+    return F.split(text, r"[ \t\n\r\f]+")

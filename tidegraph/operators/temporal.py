@@ -39,7 +39,8 @@ def nearest_snapshots(
     Probe and snapshot times are first reduced to distinct milliseconds, so a
     time bucket never holds more than ``bucket_millis`` rows, however many
     probes share it. Inside a bucket two ordered passes find the neighbours;
-    a small per-bucket table supplies those that lie outside.
+    a table with one row per bucket (thirty thousand a year by default) supplies
+    those that lie outside.
     """
     at, flag = F.col("t"), F.col("is_snapshot")
     points = (

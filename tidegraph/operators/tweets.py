@@ -20,11 +20,10 @@ FOLLOWER_BANDS = ((0.65, 2000), (0.90, 10000), (1.00, 50010))
 
 def _involved() -> Column:
     empty = F.array().cast("array<bigint>")
-    mentioned = F.transform("user_mentions", lambda m: m["id"])
     return F.concat(
         F.array(F.col("user.id")),
         F.coalesce("contributors", empty),
-        F.coalesce(mentioned, empty),
+        F.coalesce("user_mentions.id", empty),
     )
 
 
@@ -131,6 +130,7 @@ def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     update mode to keep publishing the running counts."""
     return (
         texts.select(F.explode(words(F.col(text_col))).alias("word"))
+        .filter(F.col("word") != "")
         .groupBy("word")
         .agg(F.count("*").alias("count"))
     )

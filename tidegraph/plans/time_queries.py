@@ -75,6 +75,17 @@ def request_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("select event_id, epoch_ms(date_trunc('second', ts)) as at_millis from events")
+def load_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    asked = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    lines = e.select(
+        "event_id",
+        F.explode(F.array(F.concat(F.lit(" loadOld "), asked), F.concat(F.lit("addNode "), "event_id"))).alias("value"),
+    )
+    return lines_io.parse_load_requests(lines).select("event_id", "at_millis")
+
+
 @query(ctes(COMMANDS, before(), graph("ordered", "before")) + "select src, dst, attr from edges")
 def edges_as_of_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.graph_as_of_time(event_commands(spark, sf_dir), F.expr(_AT)).edges

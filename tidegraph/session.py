@@ -13,14 +13,16 @@ def build_session(
     shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
-    """A session with adaptive execution on, so skewed joins are split and
-    shuffle partitions are sized at run time."""
+    """A session with adaptive execution on, so that skewed joins are split and
+    shuffle partitions are sized at run time, and with streamed sessions merged
+    before they are shuffled."""
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     )
     if master:
         builder = builder.master(master)

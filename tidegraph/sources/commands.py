@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegraph.functions.keys import own_shuffle
-from tidegraph.functions.text import command_text, normalised
+from tidegraph.functions.text import command_text, computed_once, normalised
+from tidegraph.functions.times import parse_request_time
 from tidegraph.model import ADD_EDGE, ADD_NODE, ALL_OPS, EDGE_OPS, RMV_EDGE, RMV_NODE
 from tidegraph.session import ensure_checkpoint_dir
 
@@ -19,6 +20,9 @@ from tidegraph.session import ensure_checkpoint_dir
 FRAME_OPEN = "FILE_INFO"
 FRAME_CLOSE = "END_OF_FILE"
 
+# Fixed value: the word that asks for a saved graph.
+LOAD_OLD = "loadOld"
+
 # The order in which the four command sets are written out.
 WRITE_ORDER = (ADD_EDGE, ADD_NODE, RMV_EDGE, RMV_NODE)
 
@@ -39,7 +43,6 @@ def parse_commands(lines: DataFrame, mode: str = "drop", value_col: str = "value
     """
     if mode not in ("drop", "fail", "quarantine"):
         raise ValueError(f"unknown mode {mode!r}")
-    line = normalised(F.col(value_col))
     token = lambda i: F.get("_tokens", i)
     is_edge = token(0).isin(*EDGE_OPS)
     problem = (
@@ -52,8 +55,8 @@ def parse_commands(lines: DataFrame, mode: str = "drop", value_col: str = "value
         )
     )
     rows = (
-        lines.withColumn("_tokens", F.split(line, " "))
-        .filter(F.length(line) > 0)
+        computed_once(lines, "_tokens", F.split(normalised(F.col(value_col)), " "))
+        .filter(token(0) != "")
         .withColumn("_error", problem)
         .withColumn("op", token(0))
         .withColumn("src", token(1).try_cast("bigint"))
@@ -72,10 +75,24 @@ def parse_commands(lines: DataFrame, mode: str = "drop", value_col: str = "value
     ).drop("_error")
 
 
+def parse_load_requests(lines: DataFrame, value_col: str = "value") -> DataFrame:
+    """Add ``at_millis`` to the ``loadOld yyyy-MM-dd HH:mm:ss`` lines among
+    others; null where the time is malformed."""
+    trimmed = computed_once(lines, "_line", normalised(F.col(value_col)))
+    asked = F.substr("_line", F.lit(len(LOAD_OLD) + 2))
+    return (
+        trimmed.filter(F.startswith("_line", F.lit(LOAD_OLD + " ")))
+        .withColumn("at_millis", parse_request_time(asked))
+        .drop("_line")
+    )
+
+
 def normalise_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """Trimmed lines without the blank ones."""
-    return lines.withColumn(value_col, normalised(F.col(value_col))).filter(
-        F.length(value_col) > 0
+    others = [c for c in lines.columns if c != value_col]
+    trimmed = computed_once(lines, "_line", normalised(F.col(value_col)))
+    return trimmed.filter(F.col("_line") != "").select(
+        *others, F.col("_line").alias(value_col)
     )
 
 
@@ -202,11 +219,11 @@ def frame_lines(
     Files are cut into sections of ``section_lines`` line numbers (by default
     a file block), so that a file of any length is counted by many tasks.
     """
-    word = F.split(normalised(F.col("value")), " ")
-    number = lambda i: F.coalesce(F.get(word, i).try_cast("bigint"), F.lit(0))
-    kind = F.get(word, 0)
+    number = lambda i: F.coalesce(F.get("_tokens", i).try_cast("bigint"), F.lit(0))
+    kind = F.get("_tokens", 0)
     marked = (
-        lines.filter(kind.isin(FRAME_OPEN, FRAME_CLOSE, *ALL_OPS))
+        computed_once(lines, "_tokens", F.split(normalised(F.col("value")), " "))
+        .filter(kind.isin(FRAME_OPEN, FRAME_CLOSE, *ALL_OPS))
         .withColumn("_close", (kind == FRAME_CLOSE).cast("long"))
         .withColumn("_section", F.floor(F.col(line_col) / section_lines))
     )

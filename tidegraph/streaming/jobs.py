@@ -7,6 +7,7 @@ and returns a started query. ``trigger`` is passed on to Spark, for example
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from tidegraph.model import ADD_EDGE, EDGE_KEY, RMV_EDGE
 from tidegraph.operators.reduction import net_effect
 from tidegraph.operators.tweets import count_messages, word_counts
 from tidegraph.sources.commands import with_line_no
+from tidegraph.sources.snapshots import write_snapshot
 from tidegraph.streaming.store import GraphStore
 
 # Polling and batch intervals of the known deployments.
@@ -62,7 +64,12 @@ def run_graph(
             if "seq" not in batch.columns:
                 batch = with_line_no(batch).withColumnRenamed("line_no", "seq")
             batch = net_effect(batch)
-        store.append(batch, number)
+        # Edge and vertex marks both read it; a lost part is read again.
+        batch = batch.persist()
+        try:
+            store.append(batch, number)
+        finally:
+            batch.unpersist()
         if compact_every and (number + 1) % compact_every == 0:
             store.compact(number)
         if after_batch is not None:
@@ -77,14 +84,26 @@ def run_graph(
     )
 
 
+def save_each_batch(root: str, every: int = 1) -> Callable[[GraphStore, int], None]:
+    """For ``after_batch``: save the graph under the current time."""
+
+    def save(store: GraphStore, number: int) -> None:
+        if (number + 1) % every == 0:
+            write_snapshot(store.graph(), root, int(time.time() * 1000))
+
+    return save
+
+
 def expiry_stream(commands: DataFrame, ttl_seconds: int, lateness: str) -> DataFrame:
     """``rmvEdge`` commands for edges that are not added again in time.
 
     The additions of an edge form sessions whose gap is the time to live; a
     session that closes is an edge that expires, at the moment its last
     addition is that old. An addition exactly that old still refreshes, hence
-    the extra microsecond. Sessions are merged before the shuffle and dropped
-    once the watermark has passed them, so state holds living edges only.
+    the extra microsecond. Sessions are dropped once the watermark has passed
+    them, so state holds living edges only; where the session is built by
+    ``build_session`` they are merged before the shuffle too, so that an edge
+    added all the time sends one row per task.
 
     Spark keeps event time with a time zone; commands stamped without one come
     back the same way (exactly so in sessions without daylight saving).
