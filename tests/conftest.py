@@ -20,8 +20,9 @@ def spark():
     session = build_session(
         "tests",
         "local[8]",
-        4,
+        2,
         {
+            "spark.default.parallelism": "2",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
             "spark.sql.streaming.metricsEnabled": "false",

@@ -57,7 +57,7 @@ def test_many_histories_at_once(spark, seed):
 def test_reduced_batches_and_shards(spark, seed, shards):
     rows = random_rows(seed + 50, 90)
     routed = reduction.route_to_shards(frame(spark, rows), shards)
-    reduced = reduction.net_effect(routed, ("batch_id", "shard"))
+    reduced = reduction.net_effect(routed, ("batch_id", "shard"), broadcast_rows=10 * seed)
     combined = reduction.combine_shards(reduced)
     assert as_sets(marks.build_graph(combined, "batch")) == in_order(rows)
 

@@ -15,7 +15,7 @@ from tidegraph.model import (
     RMV_EDGE,
     RMV_NODE,
 )
-from tidegraph.operators.marks import with_endpoint_removals
+from tidegraph.operators.marks import broadcast_if_small, with_endpoint_removals
 
 COMMAND_KEY = ["op", "src", "attr", "dst"]
 
@@ -47,7 +47,11 @@ def _emitted(rows: DataFrame, by: tuple[str, ...], *choices: Column) -> DataFram
     return rows.select(*by, F.explode(chosen).alias("c")).select(*by, "c.*")
 
 
-def net_effect(commands: DataFrame, by: tuple[str, ...] = ("batch_id",)) -> DataFrame:
+def net_effect(
+    commands: DataFrame,
+    by: tuple[str, ...] = ("batch_id",),
+    broadcast_rows: int | None = None,
+) -> DataFrame:
     """The commands of each batch that still matter once the batch is over.
 
     Returns ``(by..., op, src, attr, dst, ts)``, one row per distinct command,
@@ -61,6 +65,9 @@ def net_effect(commands: DataFrame, by: tuple[str, ...] = ("batch_id",)) -> Data
     * a node removal always stays: it may take along edges of older batches.
 
     ``ts`` is the time of the latest command behind the row.
+
+    With ``broadcast_rows`` the removed nodes are counted first and, if they
+    are no more than that, broadcast; otherwise edges move to their endpoints.
     """
     if "ts" not in commands.columns:
         commands = commands.withColumn("ts", F.lit(None).cast("timestamp_ntz"))
@@ -90,6 +97,10 @@ def net_effect(commands: DataFrame, by: tuple[str, ...] = ("batch_id",)) -> Data
         .agg(F.max("seq").alias("removed_at"))
     )
 
+    if broadcast_rows is not None:
+        few = broadcast_if_small(removals, broadcast_rows)
+        removals = removals if few is None else few
+
     never = F.lit(NEVER)
     src_rmv = F.coalesce("src_rmv", never)
     dst_rmv = F.coalesce("dst_rmv", never)
