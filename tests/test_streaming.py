@@ -86,6 +86,17 @@ def test_repeated_micro_batches_and_compaction(spark, tmp_path):
     assert store.deltas() == [5]
 
 
+def test_socket_like_input_is_stored(spark, tmp_path):
+    """Lines with an arrival time, as a socket gives them: ticks are batches."""
+    data = [(T0, "addEdge 1 a 2"), (T0 + dt.timedelta(seconds=6), "rmvNode 2"), (T0, "hello")]
+    lines = spark.createDataFrame(data, "ts timestamp, value string")
+    commands = jobs.with_tick_batches(lines_in.parse_commands(lines))
+    store = GraphStore(spark, str(tmp_path / "marks"))
+    store.append(commands, 0)
+    assert as_sets(store.graph()) == ({1}, set())
+    assert store.marks("edge").first()["last_add_ts"] == T0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_settling_forgets_only_what_cannot_matter(spark, tmp_path, seed):
     """After settling at a key, any later commands give the same graph."""

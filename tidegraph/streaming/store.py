@@ -44,6 +44,7 @@ class GraphStore:
         self.spark = spark
         self.root = root.rstrip("/")
         self.mode = mode
+        self._ts_type = ts_type
         self._schemas = {"edge": EDGE_MARKS.format(ts=ts_type), "vertex": VERTEX_MARKS}
 
     # --- folders -------------------------------------------------------------
@@ -79,7 +80,8 @@ class GraphStore:
     def append(self, commands: DataFrame, delta: int) -> None:
         """Store the marks of one micro-batch; storing it again replaces it."""
         if "ts" not in commands.columns:
-            commands = commands.withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+            commands = commands.withColumn("ts", F.lit(None))
+        commands = commands.withColumn("ts", F.col("ts").cast(self._ts_type))
         for kind, marks in (
             ("edge", edge_marks(commands, self.mode)),
             ("vertex", vertex_marks(commands, self.mode)),
