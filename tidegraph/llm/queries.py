@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import mixing, near_dedup, packing, quality
+from tidegraph.llm import language, mixing, near_dedup, packing, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,8 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(_table(spark, sf_dir, "documents"))
