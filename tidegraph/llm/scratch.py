@@ -20,26 +20,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 class Scratch:
     """Tables written once and read back, so that a lost executor costs one task
-    and not the plan behind it. Tables no longer needed can be dropped early."""
+    and not the plan behind it."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = shared_folder(spark)
-        self._paths: dict[int, str] = {}
+        self._saved = 0
 
     def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{len(self._paths)}"
+        path = f"{self.folder}/{self._saved}"
+        self._saved += 1
         df.write.parquet(path)
-        saved = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(saved)] = path
-        saved._scratch = self  # keeps the id in use
-        return saved
-
-    def drop(self, *tables: DataFrame) -> None:
-        for table in tables:
-            self.remove(self._paths[id(table)])
-
-    def remove(self, path: str) -> None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        hadoop.getFileSystem(conf).delete(hadoop, True)
+        return self.spark.read.schema(df.schema).parquet(path)
