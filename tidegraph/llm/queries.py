@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import language, mixing, near_dedup, packing, quality
+from tidegraph.llm import language, mixing, near_dedup, packing, quality, urls, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,29 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(_table(spark, sf_dir, "documents"))
+
+
+WARC_SQL = """
+with payloads as (
+  select page_id, coalesce(encode(html), ''::blob) as payload from pages),
+digested as (
+  select page_id, octet_length(payload) as n, sha1(payload) as digest,
+    min(page_id) over (partition by sha1(payload)) as first_id
+  from payloads)
+select page_id, cast(n as bigint) as payload_bytes,
+  (select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 +
+     ((('0x' || substr(digest, 1 + 10 * g, 10))::bigint >> (35 - 5 * i)) & 31) as int), 1), ''
+     order by g, i) from range(4) a(g), range(8) b(i)) as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to
+from digested"""
+
+
+@_query(WARC_SQL)
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+@_query()
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(_table(spark, sf_dir, "pages")).drop("confidence")
