@@ -26,7 +26,7 @@ Other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.llm.components import components
+from tidegraph.llm.runs import runs
 from tidegraph.llm.scratch import Scratch
 from tidegraph.llm.words import mix, word_hashes
 from tidegraph.llm.workers import ship_package
@@ -202,21 +203,6 @@ def _edge_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield _pair_batch(neighbours(*map(list, zip(*[r[1:] for r in run]))))
 
 
-def runs(batches: Iterator[pa.RecordBatch], *key: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Successive rows with equal key columns, from rows sorted by them."""
-    at, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            this = tuple(row[k] for k in key)
-            if this != at:
-                if rows:
-                    yield at, rows
-                at, rows = this, []
-            rows.append(row)
-    if rows:
-        yield at, rows
-
-
 def candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """``a, b``: pairs of classes that some tree puts side by side and whose whole
     signatures agree well enough for a similarity of 0.8."""

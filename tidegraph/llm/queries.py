@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import language, mixing, near_dedup, packing, quality, urls, warc
+from tidegraph.llm import language, mixing, near_dedup, packing, quality, urls, vectors, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,8 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(_table(spark, sf_dir, "pages")).drop("confidence")
+
+
+@_query()
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
