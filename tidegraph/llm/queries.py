@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import language, mixing, near_dedup, packing, pii, quality, urls, vectors, warc
+from tidegraph.llm import html, language, mixing, near_dedup, packing, pii, quality, urls, vectors, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,8 @@ def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages"))
