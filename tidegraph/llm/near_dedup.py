@@ -6,7 +6,7 @@
    signature values. Neighbours in a sorted order that share a long enough prefix
    are candidates. How long is long enough depends on the region: where a prefix
    is shared by few classes, these are candidates of each other; where it is
-   shared by many, only those that share a longer one, beside the next in order.
+   shared by many, only the next in order and those that share a longer one.
 3. Candidates whose whole signatures agree well enough form groups. Within a
    group links are confirmed on full sets. Groups of any size are handled:
    small ones in one task each; large ones in blocks, first inside the blocks,
@@ -42,7 +42,7 @@ from tidegraph.llm.workers import ship_package
 
 TREES, BRANCH, DEPTH = 24, 4, 8  # values per tree: own ones, and with borrowed ones
 N_VALUES = TREES * BRANCH
-WINDOW = 8  # neighbours looked at in a sorted order
+WINDOW = 4  # neighbours looked at in a sorted order, where few share a prefix
 BLOCK = 256  # classes compared with each other in one task
 PIVOTS = 32
 # four standard deviations of the estimate below a similarity of 0.8
@@ -142,10 +142,13 @@ def neighbours(trees: list[int], keys: list[bytes], nodes: list[bytes]) -> set[t
 
     def region(first: int, last: int, depth: int) -> None:
         """Rows first..last-1 share ``depth`` values."""
-        if last - first <= WINDOW + 1 or depth == DEPTH:
+        if last - first <= WINDOW + 1:
             link(first, last, WINDOW)
             return
+        # many: the next in order connect them, confirming compares them all
         link(first, last, 1)
+        if depth == DEPTH:
+            return
         inner = np.flatnonzero(shared[first : last - 1] < depth + 1) + first + 1
         edges = [first, *inner.tolist(), last]
         for a, b in zip(edges, edges[1:]):
