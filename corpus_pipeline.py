@@ -10,12 +10,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import mixing, packing
+from tidegraph.llm import language, mixing, near_dedup, packing, pii
 from tidegraph.llm.scratch import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language, or in none for the most part, go."""
+    return language.in_a_language(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, at five words and a similarity of 0.8."""
+    return near_dedup.one_of_each(docs, width=5)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts gives way to the name of its kind."""
+    return pii.without_personal_data(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that sources have their target shares."""
     return mixing.mixed_documents(docs)
@@ -27,6 +42,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", mask_personal_data),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
