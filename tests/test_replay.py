@@ -25,9 +25,9 @@ def test_both_orders(spark, seed):
     assert as_sets(marks.build_graph(commands, "ordered")) == in_order(rows)
     assert as_sets(marks.build_graph(commands, "batch")) == in_batches(rows)[:2]
     for few in (0, 1000):
-        early = marks.build_graph(commands, "ordered", broadcast_rows=few)
+        early = marks.build_graph(commands, "ordered", prune_early=bool(few))
         assert as_sets(early) == in_order(rows)
-        early = marks.build_graph(commands, "batch", broadcast_rows=few)
+        early = marks.build_graph(commands, "batch", prune_early=bool(few))
         assert as_sets(early) == in_batches(rows)[:2]
 
 
@@ -57,7 +57,7 @@ def test_many_histories_at_once(spark, seed):
 def test_reduced_batches_and_shards(spark, seed, shards):
     rows = random_rows(seed + 50, 90)
     routed = reduction.route_to_shards(frame(spark, rows), shards)
-    reduced = reduction.net_effect(routed, ("batch_id", "shard"), broadcast_rows=10 * seed)
+    reduced = reduction.net_effect(routed, ("batch_id", "shard"))
     combined = reduction.combine_shards(reduced)
     assert as_sets(marks.build_graph(combined, "batch")) == in_order(rows)
 

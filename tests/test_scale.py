@@ -76,7 +76,7 @@ def test_filters_and_columns_reach_the_scan(spark, hub):
 
 
 def test_few_removals_leave_one_shuffle(spark, hub):
-    edges = marks.build_graph(hub, "batch", broadcast_rows=1_000_000).edges
+    edges = marks.build_graph(hub, "batch", prune_early=True).edges
     plan = final_plan(edges)
     moved = [
         line for line in plan.splitlines() if "Exchange hashpartitioning(src" in line and "attr" in line

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +19,13 @@ EDGE = ["src", "dst", "attr"]
 def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of ``left`` that do not occur in ``right``; copies are kept.
 
-    A row with a null is never taken as equal to another. A row that makes up
-    most of ``left`` is split over tasks by adaptive execution.
+    Nulls are equal to each other. A row that makes up most of ``left`` is split
+    over tasks by adaptive execution.
     """
     columns = left.columns
-    return left.join(unique_keys(right, *columns), columns, "left_anti").select(*columns)
+    listed = unique_keys(right, *columns).toDF(*[f"_listed_{c}" for c in columns])
+    same = [left[c].eqNullSafe(listed[f"_listed_{c}"]) for c in columns]
+    return left.join(listed, reduce(lambda a, b: a & b, same), "left_anti").select(*columns)
 
 
 def union_all(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -76,7 +80,7 @@ def _tally(left: DataFrame, right: DataFrame, columns: list[str], what: str) ->
 def _report(left: Graph, right: Graph, with_attrs: bool) -> DataFrame:
     """One row with the tallies of both tables as ``vertex_*`` and ``edge_*``."""
     edge_sides = (
-        (triplets(left), triplets(right), TRIPLET)
+        (triplets(left, dangling=True), triplets(right, dangling=True), TRIPLET)
         if with_attrs
         else (left.edges, right.edges, EDGE)
     )
@@ -96,7 +100,8 @@ def _report(left: Graph, right: Graph, with_attrs: bool) -> DataFrame:
 def graphs_equal(left: Graph, right: Graph) -> DataFrame:
     """Exact comparison: one row with ``equal`` and the four difference counts.
 
-    Equal when no vertex and no triplet occurs on one side only.
+    Equal when no vertex and no triplet occurs on one side only; an edge whose
+    endpoint is in no vertex table is a triplet without that attribute.
     """
     names = ["vertex_only_left", "vertex_only_right", "edge_only_left", "edge_only_right"]
     total = sum((F.col(n) for n in names[1:]), F.col(names[0]))

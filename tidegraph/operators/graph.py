@@ -110,14 +110,15 @@ def graph_from_edges(edges: DataFrame, attr: int = DEFAULT_VERTEX_ATTR) -> Graph
     )
 
 
-def triplets(graph: Graph) -> DataFrame:
-    """Each edge with the attributes of both endpoints."""
+def triplets(graph: Graph, dangling: bool = False) -> DataFrame:
+    """Each edge with the attributes of both endpoints; with ``dangling`` also
+    the edges that lack an endpoint, its attribute being null."""
     joined = graph.edges
     for end in ("src", "dst"):
         side = graph.vertices.select(
             own_shuffle("id").alias(end), F.col("attr").alias(end + "_attr")
         )
-        joined = joined.join(side, end)
+        joined = joined.join(side, end, "left" if dangling else "inner")
     return joined.select("src", "src_attr", "dst", "dst_attr", "attr")
 
 
@@ -214,4 +215,4 @@ def grid_cut(edges: DataFrame, parts: int) -> DataFrame:
 
 def lay_out(edges: DataFrame, parts: int) -> DataFrame:
     """Move edges so that rows of one ``part_id`` are in one partition."""
-    return edges.repartition(parts, "part_id")
+    return edges.repartitionById(parts, "part_id")

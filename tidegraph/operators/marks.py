@@ -96,15 +96,6 @@ def node_removals(commands: DataFrame, mode: str = BATCH) -> DataFrame:
     )
 
 
-def broadcast_if_small(removals: DataFrame, max_rows: int) -> DataFrame | None:
-    """The removals marked for broadcast if they are few enough, else None.
-
-    Counts them, which runs a job. A row is two longs, so ``max_rows`` bounds
-    what every executor has to hold.
-    """
-    return F.broadcast(removals) if removals.count() <= max_rows else None
-
-
 def prune_edge_additions(commands: DataFrame, removals: DataFrame, mode: str = BATCH) -> DataFrame:
     """The edge commands without the additions an endpoint's removal undid."""
     edges = commands.filter(F.col("op").isin(*EDGE_OPS))
@@ -178,28 +169,26 @@ def graph_from_marks(
 
 
 def build_graph(
-    commands: DataFrame, mode: str = BATCH, broadcast_rows: int | None = None
+    commands: DataFrame, mode: str = BATCH, prune_early: bool = False
 ) -> Graph:
     """Apply all commands to the empty graph.
 
     ``ordered``: as if replayed one by one by ``seq``. ``batch``: as if folded
     batch by batch, removals before additions within each ``batch_id``.
 
-    With ``broadcast_rows`` the removed vertices are counted first. If there
-    are no more than that, they are broadcast to the scan, and additions they
-    undid never enter a shuffle; the edges then take a single one. If there
-    are more, or without the setting, edges are reduced to one row each before
-    they meet the removals.
+    Edges are reduced to one row each before they meet the removals. With
+    ``prune_early`` every command meets them first, and additions they undid
+    are not reduced at all; Spark broadcasts the removals if they turn out
+    small, so this pays where removals are few and undo much.
     """
     removals = node_removals(commands, mode)
     vertices = alive_vertices(vertex_marks(commands, mode), mode).select(
         "id", F.lit(DEFAULT_VERTEX_ATTR).cast("long").alias("attr")
     )
-    few = None if broadcast_rows is None else broadcast_if_small(removals, broadcast_rows)
-    if few is None:
+    if not prune_early:
         edges = alive_edges(edge_marks(commands, mode), removals, mode)
     else:
-        pruned = edge_marks(prune_edge_additions(commands, few, mode), mode)
+        pruned = edge_marks(prune_edge_additions(commands, removals, mode), mode)
         edges = pruned.filter(
             F.col("last_add").isNotNull()
             & outlives(F.col("last_add"), F.col("last_rmv"), mode)

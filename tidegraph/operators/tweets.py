@@ -96,15 +96,19 @@ def with_follower_ids(
 
 
 def follower_edges(
-    tweets: DataFrame, pages: DataFrame, author_limit: int = PAGE_SIZE
+    tweets: DataFrame, pages: DataFrame, author_limit: int | None = None
 ) -> DataFrame:
     """``addEdge`` commands from every involved user to each of their
     followers, labelled with the text as one token.
 
     Followers come from the user's page. Without a page they are made up: as
-    many as the author's profile says, at most ``author_limit`` (the size of a
-    page), and a count fixed by the id for the other users.
+    many as the author's profile says, and a count fixed by the id for the other
+    users. ``author_limit``, if the caller sets one (such as ``PAGE_SIZE``, the size
+    of a page), bounds the made-up followers of an author.
     """
+    profile = F.col("_profile")
+    if author_limit is not None:
+        profile = F.least(profile, F.lit(author_limit))
     roles = involved_users(tweets).select(
         safe_label(F.col("text")).alias("attr"),
         F.col("user.followers_count").cast("bigint").alias("_profile"),
@@ -113,7 +117,7 @@ def follower_edges(
     wanted = roles.select(
         "user_id",
         "attr",
-        F.when(F.col("_position") == 0, F.least("_profile", F.lit(author_limit)))
+        F.when(F.col("_position") == 0, profile)
         .otherwise(made_up_follower_count(F.col("user_id")))
         .alias("n_followers"),
     )

@@ -65,7 +65,7 @@ parsed as (
 
 @query(ctes(_LINES) + "select seq, op, src, attr, dst from parsed where error is null")
 def parse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_in.parse_commands(_event_lines(spark, sf_dir)).select("seq", *_COMMAND_COLS)
+    return lines_in.parse_commands(_event_lines(spark, sf_dir), mode="drop").select("seq", *_COMMAND_COLS)
 
 
 @query(

@@ -45,7 +45,7 @@ def graph_edges_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ctes(COMMANDS, graph("batch")) + "select src, dst, attr from edges")
 def graph_edges_pruned_early(spark: SparkSession, sf_dir: str) -> DataFrame:
     commands = event_commands(spark, sf_dir)
-    return marks.build_graph(commands, "batch", broadcast_rows=1_000_000).edges
+    return marks.build_graph(commands, "batch", prune_early=True).edges
 
 
 @query(ctes(COMMANDS, graph("batch")) + "select id, attr from vertices")

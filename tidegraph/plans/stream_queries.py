@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidegraph.operators import tweets as words
 from tidegraph.plans.catalog import query
 from tidegraph.plans.message_queries import _WORDS
-from tidegraph.plans.sql import COMMANDS, TTL_SECONDS, ctes, graph
+from tidegraph.plans.sql import AS_OF, COMMANDS, TTL_SECONDS, before, ctes, graph, kept_edges
 from tidegraph.plans.time_queries import scratch_folder
 from tidegraph.sources import tables
 from tidegraph.sources.commands import format_commands
@@ -67,6 +67,66 @@ def streamed_reduced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.graph().edges
 
 
+def _events_in_files(spark: SparkSession, sf_dir: str, folder: str, *deal: str) -> DataFrame:
+    """The commands as a stream of eight files, one to a micro-batch."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    dealt = events.repartition(8, *deal) if deal else events.repartitionByRange(8, "event_id")
+    dealt.write.mode("overwrite").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    return tables.as_commands(stream.parquet(f"{folder}/in"))
+
+
+@query(ctes(COMMANDS, graph("ordered")) + "select src, dst, attr from edges")
+def streamed_edges_many_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several micro-batches, merged over bases that are compacted and pruned."""
+    folder = scratch_folder(spark, "many-batches")
+    store = GraphStore(spark, f"{folder}/marks", "ordered")
+    jobs.run_graph(
+        _events_in_files(spark, sf_dir, folder), store, f"{folder}/progress", _CAUGHT_UP, compact_every=3
+    ).awaitTermination()
+    return store.graph().edges
+
+
+@query(ctes(COMMANDS, graph("batch")) + "select src, dst, attr from edges")
+def streamed_late_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every micro-batch has commands of batches early and late."""
+    folder = scratch_folder(spark, "late-batches")
+    store = GraphStore(spark, f"{folder}/marks", "batch")
+    jobs.run_graph(
+        _events_in_files(spark, sf_dir, folder, "event_type"),
+        store, f"{folder}/progress", _CAUGHT_UP, compact_every=3,
+    ).awaitTermination()
+    return store.graph().edges
+
+
+@query(ctes(COMMANDS, graph("ordered")) + "select id, attr from vertices")
+def streamed_split_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each batch are spread over micro-batches and still apply in
+    their order."""
+    folder = scratch_folder(spark, "split-batch")
+    store = GraphStore(spark, f"{folder}/marks", "batch")
+    jobs.run_graph(
+        _events_in_files(spark, sf_dir, folder, "event_id"), store, f"{folder}/progress", _CAUGHT_UP,
+        reduce_first=True, compact_every=4,
+    ).awaitTermination()
+    return store.graph().vertices
+
+
+@query(
+    ctes(COMMANDS, before(), kept_edges("ordered", "before"))
+    + f"""select src, dst, attr from kept_edges
+group by src, attr, dst having max(ts) + interval '{TTL_SECONDS} seconds' >= timestamp '{AS_OF}'"""
+)
+def streamed_edges_with_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aged edges leave the running graph."""
+    folder = scratch_folder(spark, "expiring")
+    now = F.expr(f"timestamp_ntz '{AS_OF}'")
+    store = GraphStore(spark, f"{folder}/marks", "ordered")
+    stream = _events_in_files(spark, sf_dir, folder).filter(F.col("ts") <= now)
+    jobs.run_graph(stream, store, f"{folder}/progress", _CAUGHT_UP, compact_every=3).awaitTermination()
+    return store.graph(as_of=now, ttl_seconds=TTL_SECONDS).edges
+
+
 @query(
     ctes(
         COMMANDS,

@@ -33,13 +33,13 @@ _MIN_SPLIT = 1 << 16
 # --- parsing -----------------------------------------------------------------
 
 
-def parse_commands(lines: DataFrame, mode: str = "drop", value_col: str = "value") -> DataFrame:
+def parse_commands(lines: DataFrame, mode: str = "fail", value_col: str = "value") -> DataFrame:
     """Add ``op, src, attr, dst`` to rows of text; works on streams as well.
 
     Blank lines and unknown first words are ignored. A known command that is
-    too short or has a number that is none is dropped (``drop``), stops the
-    job (``fail``), or is kept with the reason in ``_error`` (``quarantine``,
-    which keeps unknown commands too). Tokens beyond those needed are ignored.
+    too short or has a number that is none stops the job (``fail``), is dropped
+    (``drop``), or is kept with the reason in ``_error`` (``quarantine``, which
+    keeps unknown commands too). Tokens beyond those needed are ignored.
     """
     if mode not in ("drop", "fail", "quarantine"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -155,20 +155,25 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return with_line_no(_text_rows(spark.read, path))
 
 
+def _numbered(lines: DataFrame, skip_others: bool) -> DataFrame:
+    """Lines with the number of their file as ``batch_id``."""
+    numbered = lines.withColumn("batch_id", file_number(F.col("file_name")))
+    if skip_others:
+        return numbered.filter(F.col("batch_id").isNotNull())
+    stop = F.raise_error(F.concat(F.lit("file without a number: "), F.col("file"))).cast("bigint")
+    return numbered.withColumn("batch_id", F.coalesce("batch_id", stop))
+
+
 def read_numbered_batches(
-    spark: SparkSession, path: str | list[str], mode: str = "drop"
+    spark: SparkSession, path: str | list[str], mode: str = "fail", skip_others: bool = False
 ) -> DataFrame:
     """Commands of files named ``0, 1, 2 …``; the file number is the batch.
 
     ``seq`` orders the commands of one batch. Batches are ordered by number,
-    so ``10`` follows ``9``.
+    so ``10`` follows ``9``. A file without a number stops the job, or is left
+    out with ``skip_others``.
     """
-    lines = (
-        read_lines(spark, path)
-        .withColumn("batch_id", file_number(F.col("file_name")))
-        .filter(F.col("batch_id").isNotNull())
-        .withColumnRenamed("line_no", "seq")
-    )
+    lines = _numbered(read_lines(spark, path), skip_others).withColumnRenamed("line_no", "seq")
     return parse_commands(lines, mode).select(
         "seq", "batch_id", "file", "op", "src", "attr", "dst"
     )
@@ -329,17 +334,15 @@ def stream_lines(
 
 
 def stream_numbered_batches(
-    spark: SparkSession, path: str, mode: str = "drop", **options
+    spark: SparkSession, path: str, mode: str = "fail", skip_others: bool = False, **options
 ) -> DataFrame:
     """Commands of numbered files as a stream; the file number is the batch.
 
     Keeps ``file`` and ``block_start`` so that :func:`with_line_no` can order
     the commands of a micro-batch.
     """
-    lines = stream_lines(spark, path, **options).withColumn(
-        "batch_id", file_number(F.col("file_name"))
-    )
-    return parse_commands(lines.filter(F.col("batch_id").isNotNull()), mode).select(
+    lines = _numbered(stream_lines(spark, path, **options), skip_others)
+    return parse_commands(lines, mode).select(
         "batch_id", "file", "block_start", "op", "src", "attr", "dst"
     )
 

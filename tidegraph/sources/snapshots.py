@@ -56,9 +56,19 @@ def read_snapshot_text(spark: SparkSession, root: str, name: str | int) -> Graph
 
 
 def write_snapshot(graph: Graph, root: str, snapshot_ts: int) -> None:
-    """Save as parquet; a snapshot saved again replaces only itself."""
+    """Save as parquet; a snapshot saved again replaces only itself.
+
+    Its two tables count together, once a mark is left under ``committed``; an
+    unfinished snapshot is neither listed nor chosen.
+    """
+    spark = graph.edges.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    mark = hadoop.Path(f"{root}/committed/snapshot_ts={snapshot_ts}")
+    fs = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(mark, False)
     for what, rows in (("vertices", graph.vertices), ("edges", graph.edges)):
         rows.write.mode("overwrite").parquet(f"{root}/{what}/snapshot_ts={snapshot_ts}")
+    fs.create(mark, True).close()
 
 
 def read_snapshot(spark: SparkSession, root: str, snapshot_ts: int) -> Graph:
@@ -77,8 +87,8 @@ def snapshot_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """``(name, snapshot_ts)`` of the parquet snapshots."""
-    names = snapshot_names(spark, f"{root}/edges")
+    """``(name, snapshot_ts)`` of the parquet snapshots that are complete."""
+    names = snapshot_names(spark, f"{root}/committed")
     return snapshot_times(names.select(F.regexp_extract("name", r"=(\d+)$", 1).alias("name")))
 
 

@@ -8,7 +8,9 @@ and returns a started query. ``trigger`` is passed on to Spark, for example
 from __future__ import annotations
 
 import time
+from collections import deque
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,6 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidegraph.functions.times import epoch_micros
 from tidegraph.model import ADD_EDGE, EDGE_KEY, RMV_EDGE
-from tidegraph.operators.reduction import net_effect
 from tidegraph.operators.tweets import count_messages, word_counts
 from tidegraph.sources.commands import with_line_no
 from tidegraph.sources.snapshots import write_snapshot
@@ -26,6 +27,8 @@ from tidegraph.streaming.store import GraphStore
 BATCH_INTERVAL = {"processingTime": "15 seconds"}
 TICK = {"processingTime": "5 seconds"}
 
+_LINES_PER_BATCH = Decimal(1 << 63)  # line numbers are longs
+
 
 def tick_number(df: DataFrame, ts_col: str = "ts", seconds: int = 5) -> Column:
     """The number of the tumbling event-time batch a row falls into."""
@@ -49,29 +52,32 @@ def run_graph(
     """Keep a stored graph up to date with a stream of commands.
 
     ``reduce_first`` applies the commands of a batch in the order of their
-    lines: each batch shrinks to its net effect before its marks are stored.
-    It needs whole batches per micro-batch, which file sources give, and
-    either a ``seq`` column or the file columns to derive one from.
+    lines: each batch counts with its net effect. Marks are then kept by batch
+    and line, so that a batch may be spread over micro-batches in any way. It
+    needs a ``seq`` column or the file columns to derive one from.
 
-    Empty micro-batches are skipped. A micro-batch that runs again after a
+    With ``compact_every`` the marks are merged that often; deltas a base holds
+    and all but the last two bases are deleted. Empty micro-batches are skipped. A micro-batch that runs again after a
     failure replaces what its first run stored.
     """
 
     def store_batch(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
         if reduce_first:
             if "seq" not in batch.columns:
                 batch = with_line_no(batch).withColumnRenamed("line_no", "seq")
-            batch = net_effect(batch)
+            key = (F.col("batch_id") * F.lit(_LINES_PER_BATCH) + F.col("seq")).cast("decimal(38,0)")
+            batch = batch.withColumn("seq", key).withColumn("batch_id", key)
         # Edge and vertex marks both read it; a lost part is read again.
         batch = batch.persist()
         try:
+            if batch.isEmpty():
+                return
             store.append(batch, number)
         finally:
             batch.unpersist()
         if compact_every and (number + 1) % compact_every == 0:
             store.compact(number)
+            store.prune(keep_bases=2)
         if after_batch is not None:
             after_batch(store, number)
 
@@ -192,10 +198,10 @@ def observed(commands: DataFrame, name: str = "commands") -> DataFrame:
 
 
 class BatchMetrics(StreamingQueryListener):
-    """Collects one record per micro-batch that had input."""
+    """Keeps a record of each of the last micro-batches that had input."""
 
-    def __init__(self) -> None:
-        self.records: list[dict] = []
+    def __init__(self, keep: int = 1000) -> None:
+        self.records: deque[dict] = deque(maxlen=keep)
 
     def onQueryStarted(self, event) -> None:
         pass

@@ -6,6 +6,7 @@ of its own commands (see ``operators.marks``) as parquet::
 
     root/deltas/{edge,vertex}/delta=N/    marks of micro-batch N
     root/bases/{edge,vertex}/upto=N/      merged marks of all deltas up to N
+    root/pruned/upto=N                    deltas up to N have been deleted
 
 Marks merge by ``max``, so late, repeated and reordered input gives the same
 graph, and a micro-batch that is run again replaces its own files.
@@ -13,10 +14,11 @@ graph, and a micro-batch that is run again replaces its own files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.model import BATCH, Graph, outlives
+from tidegraph.operators.expiry import expired
 from tidegraph.operators.marks import (
     edge_marks,
     graph_from_marks,
@@ -49,6 +51,22 @@ class GraphStore:
 
     # --- folders -------------------------------------------------------------
 
+    def _fs(self, path: str):
+        """The file system of a path, and the path for it."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _pruned(self) -> int:
+        """The last micro-batch whose delta may have been deleted, or -1."""
+        fs, path = self._fs(f"{self.root}/pruned")
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return max((int(n.removeprefix("upto=")) for n in names), default=-1)
+
+    def _bases(self) -> list[int]:
+        """Bases complete for edges and vertices alike."""
+        complete = [set(self._numbers(kind, "bases", "upto")) for kind in KINDS]
+        return sorted(complete[0] & complete[1])
+
     def _numbers(self, kind: str, folder: str, key: str) -> list[int]:
         """Numbers of the complete sub-folders, from the folder listing."""
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -66,9 +84,8 @@ class GraphStore:
         return sorted(found)
 
     def _base(self) -> int | None:
-        """The newest base that is complete for edges and vertices alike."""
-        complete = [set(self._numbers(kind, "bases", "upto")) for kind in KINDS]
-        return max(complete[0] & complete[1], default=None)
+        """The newest complete base."""
+        return max(self._bases(), default=None)
 
     def deltas(self) -> list[int]:
         """Micro-batches stored whole."""
@@ -88,16 +105,28 @@ class GraphStore:
         ):
             marks.write.mode("overwrite").parquet(f"{self.root}/deltas/{kind}/delta={delta}")
 
-    def compact(self, upto: int, settled: int | None = None) -> None:
+    def compact(
+        self,
+        upto: int,
+        settled: int | None = None,
+        as_of: Column | None = None,
+        ttl_seconds: int | None = None,
+    ) -> None:
         """Merge all marks up to a micro-batch into a new base.
 
         The new base is written beside the old one and counts only once it is
-        complete, so readers and a failing compaction do no harm. ``settled``
-        is an order key below which no command will come any more: then edges
+        complete, so readers and a failing compaction do no harm; compacting
+        again what is complete does nothing, as it would overwrite what it
+        reads. With ``as_of``, a moment the stream's watermark has passed, edges
+        not added for ``ttl_seconds`` before it are left out. ``settled`` is an order key below which no command will come any more: then edges
         that are gone for good, and removals no stored edge can be older than,
         need not be kept.
         """
+        if upto in self._bases():
+            return
         edges, vertices = self.marks("edge", upto), self.marks("vertex", upto)
+        if as_of is not None:
+            edges = edges.filter(~expired(F.col("last_add_ts"), ttl_seconds, as_of))
         if settled is not None:
             edges, vertices = self._settle(edges, vertices, settled)
         for kind, marks in (("edge", edges), ("vertex", vertices)):
@@ -121,29 +150,38 @@ class GraphStore:
         )
         return kept, vertices.filter(~(absent & old))
 
-    def prune(self) -> list[int]:
-        """Delete the deltas that the newest base already holds.
+    def prune(self, keep_bases: int | None = None) -> list[int]:
+        """Delete the deltas that the newest base already holds, and all but the
+        newest ``keep_bases`` bases.
 
-        Views up to an earlier micro-batch are then limited to stored bases.
+        Views up to an earlier micro-batch are then limited to stored bases. What
+        is deleted is noted first, so that no view is taken for whole without it.
         """
-        base = self._base()
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        done = [n for n in self.deltas() if base is not None and n <= base]
-        for n in done:
-            for kind in KINDS:
-                path = hadoop.Path(f"{self.root}/deltas/{kind}/delta={n}")
-                fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-                fs.delete(path, True)
+        bases = self._bases()
+        if not bases:
+            return []
+        fs, mark = self._fs(f"{self.root}/pruned/upto={bases[-1]}")
+        fs.create(mark, True).close()
+        done = [n for n in self.deltas() if n <= bases[-1]]
+        gone = [f"deltas/{kind}/delta={n}" for n in done for kind in KINDS]
+        if keep_bases is not None:
+            gone += [f"bases/{kind}/upto={n}" for n in bases[:-keep_bases] for kind in KINDS]
+        for name in gone:
+            fs, path = self._fs(f"{self.root}/{name}")
+            fs.delete(path, True)
         return done
 
     # --- reading -------------------------------------------------------------
 
     def marks(self, kind: str, upto: int | None = None) -> DataFrame:
-        """Merged marks, of all micro-batches or those up to a given one."""
-        base = self._base()
-        if upto is not None and base is not None and base > upto:
-            older = [set(self._numbers(k, "bases", "upto")) for k in KINDS]
-            base = max((n for n in older[0] & older[1] if n <= upto), default=None)
+        """Merged marks, of all micro-batches or those up to a given one.
+
+        Raises if marks up to ``upto`` have been pruned and no base stands for them.
+        """
+        bases = self._bases()
+        base = max((n for n in bases if upto is None or n <= upto), default=None)
+        if upto is not None and upto < self._pruned() and base != upto:
+            raise ValueError(f"the marks up to micro-batch {upto} have been pruned; bases: {bases}")
         wanted = [
             n
             for n in self.deltas()
@@ -152,11 +190,20 @@ class GraphStore:
         paths = [f"{self.root}/deltas/{kind}/delta={n}" for n in wanted]
         if base is not None:
             paths.append(f"{self.root}/bases/{kind}/upto={base}")
-        schema = self._schemas[kind]
         if not paths:
-            return self.spark.createDataFrame([], schema)
-        return merge_marks(self.spark.read.schema(schema).parquet(*paths))
+            return self.spark.createDataFrame([], self._schemas[kind])
+        # order keys are longs, or wider where lines order a batch
+        return merge_marks(self.spark.read.parquet(*paths))
 
-    def graph(self, upto: int | None = None) -> Graph:
-        """The graph of all micro-batches, or of those up to a given one."""
-        return graph_from_marks(self.marks("edge", upto), self.marks("vertex", upto), self.mode)
+    def graph(
+        self,
+        upto: int | None = None,
+        as_of: Column | None = None,
+        ttl_seconds: int | None = None,
+    ) -> Graph:
+        """The graph of all micro-batches, or of those up to a given one; with
+        ``as_of``, less the edges not added for ``ttl_seconds`` before it."""
+        edges = self.marks("edge", upto)
+        if as_of is not None:
+            edges = edges.filter(~expired(F.col("last_add_ts"), ttl_seconds, as_of))
+        return graph_from_marks(edges, self.marks("vertex", upto), self.mode)
