@@ -127,7 +127,7 @@ def rules() -> dict[str, Column]:
     ways, and abstains between its two clear cases."""
     words = F.col("n_words")
     bangs = F.col("n_chars") - F.col("n_no_bang")
-    word_length = F.col("word_chars") / words
+    chars = F.col("word_chars")
     return {
         "symbols": _vote(bad=F.col("n_symbols") > 0.2 * words),
         "capitals": _vote(bad=F.col("n_upper") > 0.4 * F.col("word_chars")),
@@ -136,7 +136,7 @@ def rules() -> dict[str, Column]:
         "few_distinct_words": _vote(bad=F.col("n_distinct") < F.least(F.sqrt(words), words / 4)),
         "exclamations": _vote(bad=bangs > 0.3 * words),
         "plain_words": _vote(F.col("n_plain") >= 0.9 * words, F.col("n_plain") < 0.6 * words),
-        "word_length": _vote(bad=(word_length < 2) | (word_length > 14)),
+        "word_length": _vote(bad=(chars < 2 * words) | (chars > 14 * words)),
         "sentences": _vote(bad=(words > 250 * F.col("n_ends") + 50) | (F.col("n_ends") > words)),
     }
 
