@@ -191,7 +191,7 @@ def test_urls_and_rules(spark):
         (9, "x://org", "org", "", None, "allow"),
     ]
     df = cases.with_extras(spark.createDataFrame([r[:2] for r in rows], "page_id long, url string"))
-    got = urls.judged(df, least_confidence=1.01).drop("confidence").collect()
+    got = urls.judged(df, least_support=1.0).drop("confidence").collect()
     assert Counter(map(tuple, got)) == Counter((r[0], *r[2:]) for r in rows)
     assert urls.judged(df.limit(0)).count() == 0
 

@@ -398,6 +398,7 @@ def languages(docs: DataFrame) -> DataFrame:
 
 def in_a_language(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """The documents in some language: not ``und``, and mostly in one."""
-    found = with_language(docs, ("_lang_pred", "_lang_score"))
-    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least_score)).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    # the row travels whole, so that no column of its own meets these
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = with_language(rows, train=docs.select("doc_id", "text", "lang"))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")

@@ -153,15 +153,14 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, most_repeats: int = MOST_R
     """
     taken = mix(docs, weights, most_repeats).groupBy("doc_id", "size").agg(
         F.max("taken").alias("taken"))
-    copies = F.when(F.col("_size") == 0, 1).otherwise(
-        F.floor(F.col("_taken") / F.col("_size") + F.lit(0.5))).cast("int")
-    renamed = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"),
-                           F.col("taken").alias("_taken"))
-    counted = docs.withColumn("_words", n_words(F.col("text")))
-    joined = counted.join(
-        renamed, counted["doc_id"].eqNullSafe(renamed["_id"]) & (F.col("_words") == F.col("_size")))
+    # the row travels whole, so that no column of its own meets these
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"),
+                       n_words(F.col("text")).alias("words"))
+    joined = rows.join(taken, rows["id"].eqNullSafe(taken["doc_id"]) & (rows["words"] == taken["size"]))
+    copies = F.when(F.col("size") == 0, 1).otherwise(
+        F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).cast("int")
     return (
-        joined.withColumn("_copies", copies).where(F.col("_copies") > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*[joined[c] for c in docs.columns])
+        joined.select("row", copies.alias("copies")).where(F.col("copies") > 0)
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        .select("row.*")
     )
