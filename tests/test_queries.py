@@ -5,7 +5,9 @@ import pytest
 from conftest import SF_DIR
 
 import __spark_entry__ as entry
+from tidegraph.plans import catalog
 
+catalog.load_all()
 ORACLES = entry.oracle_sql()
 
 
@@ -14,7 +16,7 @@ def con():
     return check.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF_DIR)
     assert name in ORACLES
