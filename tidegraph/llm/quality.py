@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from tidegraph.llm.scratch import Scratch
 
 SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\x0c\r"
 # letters or digits with at most one mark behind
 PLAIN_WORD = r"""(?<!\S)[\p{L}\p{M}\p{N}'’-]++[.,;:?!)"]?(?!\S)"""
 WINDOW = 5
@@ -44,10 +43,10 @@ def _words(text: Column) -> Column:
 
 def _windows(hashes: Column) -> Column:
     """A hash of each run of ``WINDOW`` words; ``hashes`` are those of the words."""
-    at = lambda i, k: F.get(hashes, i + k)
+    at = lambda i, k: F.get(hashes, i + k if k else i)
     return F.transform(
         F.sequence(F.lit(0), F.size(hashes) - WINDOW),
-        lambda i: F.xxhash64(*[at(i, F.lit(k)) for k in range(WINDOW)]),
+        lambda i: F.xxhash64(*[at(i, k) for k in range(WINDOW)]),
     )
 
 
@@ -95,20 +94,22 @@ def measured(docs: DataFrame) -> DataFrame:
         .withColumn("again", F.coalesce(F.size("win") > F.size(F.array_distinct("win")), F.lit(False)))
         .withColumn("by_hash", F.when(F.col("again"), _by_hash(F.col("win"))))
     )
-    count = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("long")
-    without_ends = F.length("t") - F.length(F.translate("t", ".!?", ""))
-    without = lambda chars: F.length(F.translate("t", chars, ""))
+    def ascii_marks(marks: str) -> Column:
+        # taken out byte by byte, so that no list of matches is kept, however long the text
+        left = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), marks, F.col("t"))
+        return F.octet_length("t") - F.octet_length(left)
+
+    upper = F.octet_length("t") - F.octet_length(F.regexp_replace("t", "[A-Z]+", ""))
     return steps.select(
         "doc_id", "n_words",
-        without(SPACES).cast("long").alias("word_chars"),
-        (F.length("t") - without(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        ascii_marks(SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("again"), _sum_of_gaps(_repeated_places("by_hash"))).otherwise(0).cast("long")
         .alias("n_repeat_words"),
         F.size("l").alias("n_lines"),
-        (F.length("t") - F.length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("n_upper"),
-        without_ends.alias("n_ends"), count(PLAIN_WORD).alias("n_plain"),
-        F.length(F.translate("t", "!", "")).alias("n_no_bang"), F.length("t").alias("n_chars"),
+        upper.alias("n_upper"), ascii_marks(".!?").alias("n_ends"), ascii_marks("!").alias("n_bangs"),
+        F.regexp_count("t", F.lit(PLAIN_WORD)).cast("long").alias("n_plain"),
         F.size(F.array_distinct("h")).cast("long").alias("n_distinct"),
     )
 
@@ -126,7 +127,6 @@ def rules() -> dict[str, Column]:
     the lack of one defect says little. The rule on what prose looks like votes both
     ways, and abstains between its two clear cases."""
     words = F.col("n_words")
-    bangs = F.col("n_chars") - F.col("n_no_bang")
     chars = F.col("word_chars")
     return {
         "symbols": _vote(bad=F.col("n_symbols") > 0.2 * words),
@@ -134,7 +134,7 @@ def rules() -> dict[str, Column]:
         "repeated_words": _vote(bad=F.col("n_repeat_words") > 0.1 * words),
         "repeated_lines": _vote(bad=F.col("n_dup_lines") > 0.3 * F.col("n_lines")),
         "few_distinct_words": _vote(bad=F.col("n_distinct") < F.least(F.sqrt(words), words / 4)),
-        "exclamations": _vote(bad=bangs > 0.3 * words),
+        "exclamations": _vote(bad=F.col("n_bangs") > 0.3 * words),
         "plain_words": _vote(F.col("n_plain") >= 0.9 * words, F.col("n_plain") < 0.6 * words),
         "word_length": _vote(bad=(chars < 2 * words) | (chars > 14 * words)),
         "sentences": _vote(bad=(words > 250 * F.col("n_ends") + 50) | (F.col("n_ends") > words)),
