@@ -40,6 +40,7 @@ from tidegraph.llm.workers import ship_package
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
+MOST_TASKS = 50_000  # of one read; beyond it a task reads several ranges
 CHUNK = 1 << 20
 VERSION = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -308,7 +309,11 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES,
     ranges = archives.select("archive", "bytes", F.explode(F.sequence(
         F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"),
     )).alias("start")).select("archive", "start", F.least("bytes", F.col("start") + split_bytes).alias("end"))
-    return ranges.repartition("archive", "start").mapInArrow(lambda b: _read(b, with_payload), RECORDS)
+    # a range is a tiny row but much work: by number, as adaptive execution would put all
+    # ranges into one task by their size
+    parts = F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / split_bytes)
+    n_ranges = archives.agg(F.sum(parts)).first()[0] or 1  # one row; a row per archive is read
+    return ranges.repartition(min(int(n_ranges), MOST_TASKS)).mapInArrow(lambda b: _read(b, with_payload), RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
