@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from tidegraph.llm import language, mixing, near_dedup, packing, pii, quality
+from tidegraph.llm.scratch import Scratch
 
 
 @pytest.fixture(scope="module")
@@ -60,6 +61,26 @@ def test_a_large_group_is_linked_whole(spark, monkeypatch):
     assert Counter(expected)[0] > 60
 
 
+def test_no_task_holds_a_group_of_unlinked_classes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    most, in_tasks = [], near_dedup._in_tasks
+
+    def counted(rows, *args):
+        most.append(max([r["count"] for r in rows.groupBy("task").count().collect()], default=0))
+        return in_tasks(rows, *args)
+
+    monkeypatch.setattr(near_dedup, "_in_tasks", counted)
+    rng = random.Random(6)
+    texts = [cases.sentence(rng) for _ in range(180)]
+    texts += [t + " more" for t in texts[:20]]
+    rows = [(b"%03d" % i, b"g", len(texts), t) for i, t in enumerate(texts)]
+    members = spark.createDataFrame(rows, "node binary, group binary, n_group long, text string")
+    links = near_dedup.confirmed_links(members, 2, 80, Scratch(spark))
+    got = {tuple(sorted((int(a), int(b)))) for a, b in links.collect()}
+    assert got == {(i, 180 + i) for i in range(20)}
+    assert max(most) < 80  # two blocks, unevenly filled, or one and the pivots
+
+
 def test_one_of_each_group_stays(spark, docs, empty):
     kept = near_dedup.one_of_each(docs)
     assert kept.columns == docs.columns

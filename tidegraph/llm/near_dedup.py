@@ -11,11 +11,12 @@
    group links are confirmed on full sets. Groups of any size are handled:
    small ones in one task each; large ones in blocks, first inside the blocks,
    then against the best-linked members of the group, then what is still apart
-   from the group's largest component against every block. Links between
+   from the group's largest component, dealt to blocks of its own, each of them
+   against every block of the rest and every other one of its kind. Links between
    documents that are already connected are not looked for.
 
-No step emits the pairs of a group, and no task holds more than a block and its
-guests.
+No step emits the pairs of a group, and no task holds more than two blocks, or a
+block and ``PIVOTS`` guests.
 
 Defined cases: a document without words (or text) has an empty set and is linked
 with nothing; one with a single word has that word as its only shingle; rows
@@ -272,15 +273,15 @@ def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int):
     """Links inside each run of (task, guest, node, label, text) rows.
 
     Guests are compared with members, and members with each other only where
-    there is no guest. Only links between different labels are looked for, and
-    one between two parts is enough; ``degree`` counts those confirmed for a node.
+    there is no guest; a node can be both. Only links between different labels are
+    looked for, and one between two parts is enough; ``degree`` counts those
+    confirmed for a node.
     """
     for _, rows in runs(batches, 0):
-        known = {}
+        known, visiting, at_home = {}, set(), set()
         for _, guest, node, label, text in rows:
-            known.setdefault(node, (guest, node, label, text))
-            if guest:
-                known[node] = (guest, node, label, text)
+            known[node] = (node in visiting or guest, node, label, text)
+            (visiting if guest else at_home).add(node)
         rows = list(known.values())
         sets = _Sets([r[3] for r in rows], width, percent)
         root: dict = {}
@@ -292,10 +293,10 @@ def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int):
             return x
 
         guests = [i for i, r in enumerate(rows) if r[0]]
-        everyone = np.arange(len(rows))
+        members = [i for i, r in enumerate(rows) if r[1] in at_home]
         links, degree = [], {}
         for i in guests or range(len(rows)):
-            others = everyone if guests else everyone[i + 1 :]
+            others = members if guests else members[i + 1 :]
             # of the same part already: no need to look
             own = find(rows[i][2])
             others = np.array([j for j in others if j != i and find(rows[j][2]) != own], np.int64)
@@ -353,13 +354,8 @@ def confirmed_links(members: DataFrame, width: int, percent: int, scratch: Scrat
     if large.isEmpty():
         return links
 
-    def guests(of: DataFrame) -> DataFrame:
-        return of.withColumn("guest", F.lit(True)).withColumn(
-            "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-
-    def against_blocks(rows: DataFrame, visiting: DataFrame) -> DataFrame:
-        both = rows.unionByName(guests(visiting))
-        return _in_tasks(both.withColumn("task", _task("group", "block")), width, percent, scratch)
+    def each(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
     inside = _in_tasks(large.withColumn("task", _task("group", "block")), width, percent, scratch)
     degrees = inside.where("degree is not null").groupBy(F.col("a").alias("node")).agg(
@@ -370,13 +366,29 @@ def confirmed_links(members: DataFrame, width: int, percent: int, scratch: Scrat
     ).where(F.col("place") <= PIVOTS).select("node")
     found = _links(inside)
     rows = scratch.save(_labelled(large, found, scratch))
-    pivots = against_blocks(rows, rows.join(best, "node", "left_semi"))
-    found = found.union(_links(pivots))
+    pivots = rows.join(best, "node", "left_semi").withColumn("guest", F.lit(True)).withColumn(
+        "block", each("n_blocks"))
+    found = found.union(_links(_in_tasks(
+        rows.unionByName(pivots).withColumn("task", _task("group", "block")), width, percent, scratch)))
     rows = scratch.save(_labelled(large, found, scratch))
     sizes = rows.groupBy("group", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("group").agg(F.max(F.struct("n", "label")).getField("label").alias("main"))
-    apart = rows.join(main, "group").where(F.col("label") != F.col("main")).drop("main")
-    return links.union(found).union(_links(against_blocks(rows, apart)))
+    main = sizes.groupBy("group").agg(F.max(F.struct("n", "label")).alias("main"))
+    n_apart = F.col("n_group") - F.col("main.n")
+    dealt = scratch.save(
+        rows.join(main, "group").withColumn("apart", F.col("label") != F.col("main.label"))
+        .withColumn("n_visits", F.ceil(n_apart / F.lit(BLOCK))).where(n_apart > 0).drop("main")
+        .withColumn("visit", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_visits")))
+    )
+    apart, rest = dealt.where("apart"), dealt.where("not apart")
+    # one task for each block of the apart and each block of the rest
+    beside = apart.withColumn("guest", F.lit(True)).withColumn("block", each("n_blocks")).unionByName(
+        rest.withColumn("visit", each("n_visits"))).withColumn("task", _task("group", "visit", "block"))
+    # and one for each two blocks of the apart; within one block, all are members
+    other = apart.withColumn("other", each("n_visits"))
+    among = other.withColumn("guest", F.col("visit") < F.col("other")).withColumn(
+        "task", _task("group", F.least("visit", "other"), F.greatest("visit", "other"), F.lit("apart")))
+    return links.union(found).union(_links(_in_tasks(beside, width, percent, scratch))).union(
+        _links(_in_tasks(among, width, percent, scratch)))
 
 
 # ---- the operator ---------------------------------------------------------
