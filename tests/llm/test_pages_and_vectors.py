@@ -163,6 +163,19 @@ def test_boilerplate_of_hosts(spark, monkeypatch):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_pages_of_a_repeated_block_are_dealt_to_all_tasks(spark):
+    # one host, one footer
+    rows = [("h", b"footer", b"%d" % (i % 400), i, 0) for i in range(800)]
+    rows += [("h", b"own %d" % i, b"%d" % i, i, 1) for i in range(400)]
+    rows += [("h", b"copy", b"1", i, 2) for i in range(9)] + [("g", b"two", b"%d" % (i % 2), i, 2) for i in range(9)]
+    found = html.repeated(spark.createDataFrame(rows, html.SUFFIXES).repartition(4))
+    assert [tuple(r) for r in found.collect()] == [("h", b"footer")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(host" in line]
+    assert any("page" in line.split("),")[0] for line in dealt)
+    assert "partial_count" in plan and "rangepartitioning" not in plan and "Window" not in plan
+
+
 def test_repeated_suffixes_are_those_of_counting(spark):
     rng = random.Random(6)
     blocks = [f"block number {i} of some words" for i in range(12)]
