@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import cases
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidegraph.llm import language, mixing, near_dedup, packing, pii, quality
 from tidegraph.llm.scratch import Scratch
@@ -194,6 +195,19 @@ def test_languages_of_unseen_and_awkward_texts(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} >= {r[0] for r in rows}
 
 
+def test_texts_in_several_languages_stay(spark):
+    rng = random.Random(3)
+    vocabulary = {"en": EN, "de": DE, "xx": "zob zug zaz zek zil zom zur zyx".split()}
+    rows = [(i, " ".join(rng.choices(vocabulary[lang], k=30)), lang) for i, lang in enumerate(list(vocabulary) * 40)]
+    mixed = " ".join(" ".join(rng.choices(v, k=20)) for v in vocabulary.values())
+    df = spark.createDataFrame(rows + [(900, mixed, None), (901, "12 !", "en")], "doc_id long, text string, lang string")
+    assert next(r["score"] for r in language.languages(df).collect() if r["doc_id"] == 900) < 0.5
+    ids = {r["doc_id"] for r in language.in_a_language(df).collect()}
+    assert 900 in ids and 901 not in ids
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert language.in_a_language(unlabelled).count() == df.count()
+
+
 def test_nothing_to_learn_from(docs, empty):
     assert language.languages(empty).count() == 0
     assert {r["lang_pred"] for r in language.languages(docs.withColumn("lang", docs["source"].substr(9, 1).cast("string")).where("lang is null or lang = ''").selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}

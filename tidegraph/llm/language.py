@@ -384,7 +384,10 @@ def with_language(docs: DataFrame, out: tuple[str, str] = ("lang_pred", "score")
     """``docs`` with the predicted language of ``text`` and its score. ``train``
     (``docs`` by default) has ``doc_id, text, lang`` to learn from."""
     ship_package(docs.sparkSession)
-    model = fit(sample(docs if train is None else train))
+    return _labelled(docs, fit(sample(docs if train is None else train)), out)
+
+
+def _labelled(docs: DataFrame, model: Model | None, out: tuple[str, str]) -> DataFrame:
     schema = T.StructType(docs.schema.fields + [
         T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
     return docs.mapInArrow(lambda batches: _predict(batches, model, out), schema)
@@ -396,9 +399,14 @@ def languages(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def in_a_language(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The documents in some language: not ``und``, and mostly in one."""
+def in_a_language(docs: DataFrame) -> DataFrame:
+    """The documents in some language or languages: those not ``und``. Without
+    anything to learn from, all of them."""
+    ship_package(docs.sparkSession)
+    model = fit(sample(docs.select("doc_id", "text", "lang")))
+    if model is None:
+        return docs
     # the row travels whole, so that no column of its own meets these
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = with_language(rows, train=docs.select("doc_id", "text", "lang"))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")
+    found = _labelled(rows, model, ("lang_pred", "score"))
+    return found.where(F.col("lang_pred") != UNKNOWN).select("row.*")
