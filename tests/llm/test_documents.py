@@ -282,6 +282,31 @@ def test_gradients_of_the_tagger():
         assert (up - down) / 2e-2 == pytest.approx(grads[name][key][at], rel=0.02, abs=1e-5)
 
 
+@pytest.mark.parametrize("span,kind", [
+    ("jane.doe at example.com", "email"), ("jane (At) example (Dot) com", "email"), ("jane At example Dot com", "email"),
+    ("christopher.montgomery-smith (at) research-institute (dot) example (dot) org", "email"),
+    ("christopher.montgomery-smith-" * 4 + "jones @ example.org", "email"), ("555-123-4567", "phone"),
+    ("(555) 123-4567", "phone"), ("jane at very-long-name-of-an-institute . example . org", "email"),
+])
+def test_regions_hold_spans_whole(span, kind):
+    text = "words that stand in front of the span " + span + " and words that stand behind it"
+    assert any(a <= 38 and 38 + len(span) <= b for a, b in pii.regions(text))
+    assert pii.plausible(span, kind)
+
+
+def test_regions_leave_other_words_out():
+    assert pii.regions("we met at noon at the house and looked at it. Then all went home") == []
+    assert not pii.plausible("1234567890", "phone")
+    long = "a" * 200_000 + " 1 " + "1" * 200_000 + "a" * 200_000
+    assert pii.regions(long) == [(0, len(long))]
+
+
+def test_made_up_spans_are_whole_in_training():
+    codes, tags = pii.training_set(["only words without any numbers stand in here " * 3] * 40)
+    starts = sum(int(((t > 0) & (t % 2 == 1)).any()) for t in tags)
+    assert starts > 0.7 * 3 * pii.SNIPPETS  # three in four have one
+
+
 def test_personal_data_in_tables(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(pii, "EPOCHS", 1)
     rows = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame([

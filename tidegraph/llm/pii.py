@@ -8,8 +8,9 @@ with CRF transitions on top adds spans in spellings they miss, such as
 The model is trained in numpy on the driver, from spans that the patterns label in
 a bounded sample of snippets (``SNIPPETS`` of ``SNIPPET_CHARS``) and from respelled
 copies of such spans set into the same snippets. It reads the neighbourhood of
-every place where personal data could be: each digit, ``@`` or spelled-out "at".
-Neighbourhoods that touch become one region; a region is read in overlapping
+every place where personal data could be: each digit or ``@``, each "at" or "dot"
+in brackets, each "dot" as a word, and each word "at" before something with a dot.
+A neighbourhood ends between words; those that touch become one region; a region is read in overlapping
 windows, the windows' scores are averaged with weights that fall towards their
 ends, and one Viterbi pass decodes the whole region. A decoded span counts if its
 mean probability is high and it has what its kind needs (enough digits, an "at").
@@ -292,9 +293,12 @@ def _made_up(rng, kind: str) -> str:
     pick = lambda *c: c[int(rng.integers(len(c)))]
     if kind == "email":
         at, dot = pick((" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "[dot]"),
-                       ("@", "."), (" @ ", " . "), (" at ", " dot "), ("{at}", "{dot}"))
-        name = word(2, 9) + pick("", "." + word(2, 7), number(2), "." + number(2))
-        return name + at + word(3, 9) + pick("", number(1)) + dot + pick("com", "org", "net", "example" + dot + "com")
+                       ("@", "."), (" @ ", " . "), (" at ", " dot "), ("{at}", "{dot}"), (" at ", "."), (" at ", "."))
+        case = pick(str, str, str.upper, str.title)
+        at, dot = case(at), case(dot)
+        name = word(2, 9) + pick("", "." + word(2, 7), number(2), "." + number(2), "." + word(4, 9) + "-" + word(4, 7))
+        place = word(3, 9) + pick("", number(1), "-" + word(4, 9))
+        return name + at + place + dot + pick("com", "org", "net", "example" + dot + "com")
     if kind == "ip":
         sep = pick(".", ".", "[.]", "(.)", " . ")
         return sep.join(str(v) for v in rng.integers(0, 256, 4))
@@ -306,6 +310,8 @@ def _made_up(rng, kind: str) -> str:
     sep = pick(" ", "-", ".", "/")
     country = str(int(rng.integers(1, 99)))
     area = number(3)
+    if rng.integers(4) == 0:  # without a country code
+        return pick(f"({area}) ", area + sep) + number(3) + pick("-", sep) + number(4)
     return pick("+", "+", "00") + country + pick(f" ({area}) ", sep + area + sep) + number(3) + sep + number(4)
 
 
@@ -314,7 +320,7 @@ def training_set(snippets: list[str], seed: int = 5) -> tuple[np.ndarray, np.nda
     and with made-up spans set in; numbers that are nothing of the kind too."""
     rng = np.random.default_rng(seed)
     plain = [s for s in snippets if s] or ["text without any names or numbers in it at all " * 3]
-    examples: list[tuple[str, list[Span]]] = [(s, base_spans(s)) for s in plain]
+    examples: list[tuple[str, list[Span], tuple[int, int]]] = [(s, base_spans(s), (len(s), 0)) for s in plain]
     fillers = [s for s in plain if not base_spans(s)] or plain
     for i in range(3 * SNIPPETS):
         around = fillers[int(rng.integers(len(fillers)))]
@@ -337,12 +343,14 @@ def training_set(snippets: list[str], seed: int = 5) -> tuple[np.ndarray, np.nda
         spans += [(a + cut + len(what) + len(end), b + cut + len(what) + len(end), k)
                   for a, b, k in base_spans(around[cut:])]
         spans += base_spans(around[:cut])
-        examples.append((text, sorted(spans)))
+        examples.append((text, sorted(spans), (cut, cut + len(what))))
     codes, tags = [], []
-    for text, spans in examples:
+    for text, spans, (start, end) in examples:
         text_codes, text_tags = encode(text), tags_of(len(text), spans)
         most = max(0, len(text) - WINDOW)
-        shift = int(rng.integers(0, most + 1)) if most else 0
+        # what was set in stays whole
+        high = min(most, start)
+        shift = int(rng.integers(min(high, max(0, end - WINDOW)), high + 1))
         c, t = text_codes[shift : shift + WINDOW], text_tags[shift : shift + WINDOW].copy()
         if len(t) and t[0] and t[0] % 2 == 0:
             t[: int(np.argmax(t != t[0])) or len(t)] = 0  # a span cut at its front
@@ -378,15 +386,26 @@ def train(snippets: list[str], seed: int = 5) -> Tagger:
 
 # ---- reading whole texts --------------------------------------------------
 
-_PLACE = re.compile(r"[0-9@]|[(\[{]\s?(?:at|AT)\s?[)\]}]|\s(?:at|AT)\s\S{1,40}\s(?:dot|DOT)\s")
+_PLACE = re.compile(
+    r"[0-9@]|[(\[{<]\s?(?:at|dot|\.)\s?[)\]}>]|(?<=\s)(?:dot|\.)(?=\s)"
+    r"|(?<=\s)at(?=\s+[^\s.]+(?:\.\w|\s*[(\[{<]?\s*dot\b|\s+\.\s))", re.I)
+_SPACE = re.compile(r"\s")
 _AT = re.compile(r"@|[(\[{ ]\s?at\s?[)\]} ]", re.I)
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """The neighbourhoods of all places where personal data could be, merged."""
+    """The neighbourhoods of all places where personal data could be, grown to whole
+    words and merged."""
     found: list[list[int]] = []
     for m in _PLACE.finditer(text):
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+        if found and b <= found[-1][1]:
+            continue
+        least = found[-1][1] if found else 0
+        while a > least and not text[a - 1].isspace():
+            a -= 1
+        end = _SPACE.search(text, b)
+        b = end.start() if end else len(text)
         if found and a <= found[-1][1]:
             found[-1][1] = b
         else:
@@ -480,7 +499,9 @@ def plausible(span: str, kind: str) -> bool:
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[^\W\d_]", span)
-    return 9 <= len(digits) <= 15 and not re.search(r"[^\W\d_]", span) and span[:1] in "+0(" and len(span) <= 30
+    # without a prefix, what sets the digits apart tells a phone from a number
+    known = span[:1] in "+0(" or len(re.findall("[0-9]{2,}", span)) >= 3
+    return 9 <= len(digits) <= 15 and not re.search(r"[^\W\d_]", span) and known and len(span) <= 30
 
 
 def all_spans(base: list[Span], added: list[Span]) -> list[Span]:
