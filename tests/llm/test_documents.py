@@ -208,6 +208,14 @@ def test_texts_in_several_languages_stay(spark):
     assert language.in_a_language(unlabelled).count() == df.count()
 
 
+def test_copies_and_shared_openings_leave_the_sample_full(spark):
+    rows = [(f"text {i % 5} of few", "en") for i in range(4000)]
+    rows += [("the same opening of all " * 10 + str(i), "de") for i in range(1000)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    found = Counter(lang for lang, _ in language.sample(df))
+    assert found == {"en": 5, "de": language.PER_LANGUAGE}
+
+
 def test_nothing_to_learn_from(docs, empty):
     assert language.languages(empty).count() == 0
     assert {r["lang_pred"] for r in language.languages(docs.withColumn("lang", docs["source"].substr(9, 1).cast("string")).where("lang is null or lang = ''").selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}

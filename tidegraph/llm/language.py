@@ -331,14 +331,14 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """At most ``per_language`` texts of each language, those with the smallest
-    hashes. A first cut by the counts keeps the rows to be ranked few."""
+    hashes. A first cut by the counts of distinct texts keeps the rows to be ranked few."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
+    h = F.xxhash64("text")  # equal texts count once
+    texts = known.select("lang", h.alias("h")).distinct()
+    counts = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}  # a row per language
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 4.0 * per_language / n)])
-    # a hash of the text's start: few copies of one text, and no whole-text pass
-    h = F.xxhash64(F.substring("text", 1, 200))
     place = F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
     once = (
         known.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), h.alias("h"))
