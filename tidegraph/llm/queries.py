@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import html, language, mixing, near_dedup, packing, pii, quality, urls, vectors, warc
+from tidegraph.llm import (
+    alignment,
+    html,
+    language,
+    mixing,
+    near_dedup,
+    packing,
+    pii,
+    quality,
+    urls,
+    vectors,
+    warc,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +140,8 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(_table(spark, sf_dir, "pages"))
+
+
+@_query()
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(_table(spark, sf_dir, "documents"))
