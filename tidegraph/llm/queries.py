@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidegraph.llm import (
     alignment,
+    decontamination,
     html,
     language,
     mixing,
@@ -145,3 +146,38 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(_table(spark, sf_dir, "documents"))
+
+
+CONTAMINATION_SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (
+  select item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+wins as (
+  select distinct item_id, least(len(w), 10) as k,
+    array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as s
+  from (select item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from b where len(w) > 0)),
+grams as (
+  select r, i, k, array_to_string(w[i : i + k - 1], ' ') as s
+  from (select r, w, k, unnest(range(1, len(w) - k + 2)) as i
+        from d, (select distinct k from wins) where len(w) >= k)),
+hits as (select r, i, k, s from grams where s in (select s from wins)),
+words as (select r, count(distinct p) as n_hit
+  from (select r, unnest(range(i, i + k)) as p from hits) group by r),
+items as (
+  select r, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids
+  from (select distinct r, item_id from hits join wins using (s)) where item_id is not null group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
+  coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (r) left join items using (r)"""
+
+
+@_query(CONTAMINATION_SQL)
+def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination_report(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

@@ -58,11 +58,15 @@ def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
     """The word hashes of each text in turn, A-Z lower-cased, words split at
-    ASCII white space. Short texts share a vector step."""
+    ASCII white space."""
+    return hashes_of([(text or "").encode("utf-8", "replace").lower() for text in texts])
+
+
+def hashes_of(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The word hashes of each text in turn. Short texts share a vector step."""
     group: list[bytes] = []
     size = 0
-    for text in texts:
-        data = (text or "").encode("utf-8", "replace").lower()
+    for data in texts:
         if len(data) > SLICE:
             yield from _together(group)
             group, size = [], 0
