@@ -32,26 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.words import hashes_of
+from tidegraph.llm.words import term_hashes
 from tidegraph.llm.workers import ship_package
 
 WIDTH = 10
 SHARD_WORDS = 1 << 21
 BLOCK_BYTES = 8 << 20  # of benchmark text in a task at once, or one longer item
 
-# words are digits, letters a to z after lower-casing, and all beyond ASCII
-_SPLIT = bytes(
-    b if b >= 0x80 or chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz"
-    else b + 32 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 0x20
-    for b in range(256)
-)
-
-
-def hashed(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The word hashes of each text."""
-    return hashes_of([(t or "").encode("utf-8", "replace").translate(_SPLIT) for t in texts])
-
-
 # ---- suffix arrays --------------------------------------------------------
 
 
@@ -163,7 +150,7 @@ class Tests:
 
     @classmethod
     def of(cls, rows: list[tuple[str | None, str | None]], width: int) -> Tests:
-        hashes = list(hashed([text for _, text in rows]))
+        hashes = list(term_hashes([text for _, text in rows]))
         lengths = np.array([len(h) for h in hashes], np.int64)
         vocabulary, words = np.unique(
             np.concatenate([np.zeros(0, np.uint64), *hashes]), return_inverse=True)
@@ -217,7 +204,7 @@ def _shards(texts: list[str | None], tests: Tests, overlap: int) -> Iterator[lis
     """Lists of ``(row, first word, word numbers)`` for shards of bounded size;
     a long document is dealt to several, in pieces that overlap."""
     shard, size = [], 0
-    for row, hashes in enumerate(hashed(texts)):
+    for row, hashes in enumerate(term_hashes(texts)):
         step = SHARD_WORDS
         for first in range(0, max(len(hashes), 1), step):
             piece = tests.numbers(hashes[first : first + step + overlap])

@@ -9,6 +9,7 @@ from tidegraph.llm import (
     decontamination,
     html,
     language,
+    lexical,
     mixing,
     near_dedup,
     packing,
@@ -181,3 +182,35 @@ from d left join words using (r) left join items using (r)"""
 def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+SEARCH_SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+q as (
+  select distinct row_number() over () as q, item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+totals as (select count(*) as n_docs, cast(sum(len(w)) as bigint) as n_terms from d where len(w) > 0),
+postings as (
+  select r, term, count(*) as tf
+  from (select r, unnest(w) as term from d) where term in (select term from q) group by r, term),
+weights as (
+  select term, cast(floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1))) as bigint) as weight
+  from postings, totals group by term),
+scored as (
+  select q, item_id, r, doc_id, cast(sum(weight * ((1000000000 * tf)
+    // (1000 * tf + 8 * (10 + (90 * len(w) * n_docs) // n_terms)))) as bigint) as score
+  from q join postings using (term) join weights using (term) join d using (r), totals
+  group by q, item_id, r, doc_id),
+ranked as (
+  select item_id, row_number() over (partition by q order by score desc, doc_id nulls last) as rank,
+    doc_id, score from scored where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from ranked where rank <= 10"""
+
+
+@_query(SEARCH_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

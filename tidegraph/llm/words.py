@@ -62,6 +62,19 @@ def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
     return hashes_of([(text or "").encode("utf-8", "replace").lower() for text in texts])
 
 
+# terms are runs of digits, letters a to z (A to Z lower-cased) and all beyond ASCII
+_TERMS = bytes(
+    b if b >= 0x80 or chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz"
+    else b + 32 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 0x20
+    for b in range(256)
+)
+
+
+def term_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The hashes of each text's terms in turn."""
+    return hashes_of([(text or "").encode("utf-8", "replace").translate(_TERMS) for text in texts])
+
+
 def hashes_of(texts: list[bytes]) -> Iterator[np.ndarray]:
     """The word hashes of each text in turn. Short texts share a vector step."""
     group: list[bytes] = []
