@@ -209,13 +209,18 @@ def test_urls_and_rules(spark):
     assert urls.judged(df.limit(0)).count() == 0
 
 
-def test_mined_rules_are_those_of_counting(spark):
+def test_mined_rules_are_those_of_counting(spark, monkeypatch):
     rng = random.Random(8)
     rows = []
     for i in range(300):
         host = rng.choice(["a.com", "b.com", "c.org", "pills.net", "d.net"])
         rows.append((i, f"http://{host}/{rng.choice(['de', 'fr', 'en', 'es'])}/{rng.choice(['x', 'y'])}/{i % 7}"))
     rows += [(400 + i, "http://d.net/de/x/1?" + "&".join(f"k{j}=1" for j in range(60))) for i in range(20)]
+    # labelled together always, not labelled with one of these tokens only
+    rows += [(500 + i, f"http://example.org/es/only/{i}") for i in range(30)]
+    rows += [(600, "http://example.net/8"), (601, "http://e.net/es/5"), (602, "http://e.net/only/5"),
+             (603, "http://e.net/fr/only/y")]
+    monkeypatch.setattr(urls, "PIECE", 7)
     df = spark.createDataFrame(rows, "page_id long, url string")
     got = {r["page_id"]: r for r in urls.judged(df, least_support=0.05).collect()}
     parts = df.select("page_id", urls.tokens(F.col("url"), urls.host(F.col("url")), urls.path(F.col("url"))).alias("t"))
@@ -234,3 +239,21 @@ def test_mined_rules_are_those_of_counting(spark):
             if blocked >= 0.05 * n:
                 best = max(best, blocked / len(have))
         assert r["verdict"] == ("block" if best >= urls.LEAST_CONFIDENCE else "allow"), (i, best)
+
+
+def test_items_of_many_rows(spark):
+    # a token on 20 million rows, and one that is always beside it
+    rows = spark.range(20_000_000).select(
+        "id", F.lit(1).cast("long").alias("n"),
+        F.array(F.lit("a"), F.lit("b"), F.concat(F.lit("c"), F.col("id") % 2)).alias("tokens"))
+    got = {(r["item"], r["token"]) for r in urls._item_tokens(rows, 1000.0).collect()}
+    assert got == {("a", "a"), ("a", "b"), ("c0", "c0"), ("c1", "c1")}
+
+
+def test_a_repeated_url_is_weighed(spark):
+    labelled = spark.createDataFrame(
+        [(1, 25, ["x", "y"], "block"), (2, 3, ["x"], "block"), (3, 30, ["z"], "allow")],
+        "id long, n long, tokens array<string>, verdict string")
+    index = urls._item_tokens(labelled, 1.0)
+    got = Counter(tuple(r["items"]) for r in urls._baskets(labelled, index).collect())
+    assert got == {("x", "y", "verdict=block"): 25, ("x", "verdict=block"): 3, ("z", "verdict=allow"): 30}

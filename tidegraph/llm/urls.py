@@ -10,8 +10,12 @@ rule, and allowed otherwise.
 
 Tokens are the labels of the host, pairs of its neighbouring ones, the words of
 the path and the names in the query. Numbers are one token: they name single
-pages. Tokens that stand in the same URLs are mined as one, so that a long URL
-that many rows repeat is a few items and not a power set.
+pages. Tokens that stand in the same labelled URLs are mined as one item, so that a
+long URL that many rows repeat is a few items and not a power set; elsewhere any of
+these tokens stands for the item, as any of them alone would make the same rules.
+
+Equal baskets are one row with a weight until FP-growth asks for rows; a weight is
+dealt to all tasks in pieces.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and
 no tokens; no rule fits it and it is allowed. Repeated rows count as often as they
@@ -37,6 +41,7 @@ RULES = (  # host, path, verdict
 )
 LEAST_SUPPORT, LEAST_CONFIDENCE = 0.005, 0.9
 BROADCAST_RULES = 20_000
+PIECE = 10_000  # rows made of one basket at once
 _LABEL = "verdict="
 
 
@@ -96,35 +101,48 @@ def rule_verdict(rule: Column, rules=RULES) -> Column:
 # ---- mined rules ----------------------------------------------------------
 
 
+def _item_tokens(labelled: DataFrame, least: float) -> DataFrame:
+    """``item, token`` of the tokens on labelled rows of a weight of ``least`` in all;
+    those of exactly the same rows are one item, told by two 64-bit sums without
+    carry of the rows' hashes."""
+    rows = labelled.select("id", "n", F.explode("tokens").alias("token"))
+    alike = rows.groupBy("token").agg(
+        F.sum("n").alias("n"), F.bit_xor(F.xxhash64("id")).alias("rows"),
+        F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("again"),
+    ).where(F.col("n") >= least)
+    items = alike.groupBy("n", "rows", "again").agg(F.collect_set("token").alias("all"))
+    return items.select(F.array_min("all").alias("item"), F.explode("all").alias("token"))
+
+
+def _baskets(labelled: DataFrame, index: DataFrame) -> DataFrame:
+    """``items``: a row for each labelled row, dealt evenly."""
+    weighed = (
+        labelled.select("id", "n", "verdict", F.explode("tokens").alias("token"))
+        .join(index, "token")
+        .groupBy("id", "n", "verdict").agg(F.array_sort(F.collect_set("item")).alias("items"))
+        .groupBy(F.concat("items", F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
+        .agg(F.sum("n").alias("n"))
+    )
+    pieces = weighed.select(
+        "items", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {PIECE}"))).alias("piece"))
+    rest = F.least(F.lit(PIECE).cast("long"), F.col("n") - F.col("piece") * PIECE)
+    # by number and not by chance, so that a task that runs again makes the same rows
+    return pieces.repartition("items", "piece").select(
+        "items", F.explode(F.sequence(F.lit(1).cast("long"), rest)).alias("copy")).select("items")
+
+
 def mined_rules(labelled: DataFrame, scratch: Scratch, least_support: float = LEAST_SUPPORT,
-                least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
-    """``rule, size, token, confidence``: a row per token of each rule that says
-    block, from ``labelled(id, tokens, verdict)``."""
+                least_confidence: float = LEAST_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """``rule, size, item, confidence`` with a row per item of each rule that says
+    block, and ``item, token``, from ``labelled(id, n, tokens, verdict)``."""
     spark = labelled.sparkSession
-    empty = "rule long, size int, token string, confidence double"
-    total = labelled.count()
+    total = labelled.agg(F.sum("n")).first()[0]
     if not total or labelled.where(F.col("verdict") == BLOCK).isEmpty():
-        return spark.createDataFrame([], empty)
-    # tokens of exactly the same rows are one item: their row hashes sum up alike
-    here = (
-        labelled.select("id", F.explode("tokens").alias("token"))
-        .groupBy("token").agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
-                              .alias("rows"))
-        .where(F.col("n") >= least_support * total)
-    )
-    items = scratch.save(
-        here.groupBy("n", "rows").agg(F.min("token").alias("item"), F.collect_set("token").alias("all"))
-        .select("item", "all")
-    )
+        return (spark.createDataFrame([], "rule long, size int, item string, confidence double"),
+                spark.createDataFrame([], "item string, token string"))
     # at most tokens-per-URL / least_support tokens are frequent
-    index = items.select("item")
-    index = F.broadcast(index) if index.count() <= BROADCAST_RULES else index
-    baskets = scratch.save(
-        labelled.select("id", "verdict", F.explode("tokens").alias("item"))
-        .join(index, "item")
-        .groupBy("id", "verdict").agg(F.collect_set("item").alias("items"))
-        .select(F.concat("items", F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
-    )
+    index = scratch.save(_item_tokens(labelled, least_support * total))
+    baskets = scratch.save(_baskets(labelled, _small(index)))
     model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(baskets)
     says = model.associationRules.where(F.col("consequent") == F.array(F.lit(_LABEL + BLOCK)))
     says = scratch.save(says.select(F.array_sort("antecedent").alias("items"), "confidence"))
@@ -136,19 +154,24 @@ def mined_rules(labelled: DataFrame, scratch: Scratch, least_support: float = LE
         (F.size("part") < F.size("items")) & (F.col("as_sure") >= F.col("confidence"))
         & (F.size(F.array_except("part", "items")) == 0)
     ).select("items").distinct()
-    kept = says.join(covered, "items", "left_anti").withColumn("rule", F.xxhash64("items"))
-    spelled = kept.withColumn("item", F.explode("items")).join(items, "item")
-    return scratch.save(
-        spelled.groupBy("rule", "confidence").agg(F.array_distinct(F.flatten(F.collect_list("all"))).alias("t"))
-        .select("rule", F.size("t").alias("size"), F.explode("t").alias("token"), "confidence")
-    )
+    kept = says.join(covered, "items", "left_anti").select(
+        F.xxhash64("items").alias("rule"), F.size("items").alias("size"), F.explode("items").alias("item"),
+        "confidence")
+    return scratch.save(kept), index
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A table broadcast if its count allows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_RULES else table
 
 
-def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``id, confidence`` of the URLs of ``urls(id, tokens)`` that have all tokens of
-    a rule; the confidence is that of the surest."""
-    index = F.broadcast(rules) if rules.count() <= BROADCAST_RULES else rules
-    hits = urls.select("id", F.explode("tokens").alias("token")).join(index, "token")
+def matches(urls: DataFrame, rules: DataFrame, index: DataFrame) -> DataFrame:
+    """``id, confidence`` of the URLs of ``urls(id, tokens)`` that have all items of
+    a rule, an item by any of its tokens; the confidence is that of the surest."""
+    has = (
+        urls.select("id", F.explode("tokens").alias("token")).join(_small(index), "token")
+        .select("id", "item").distinct())
+    hits = has.join(_small(rules), "item")
     return (
         hits.groupBy("id", "rule", "size", "confidence").agg(F.count("*").alias("n"))
         .where(F.col("n") == F.col("size"))
@@ -173,11 +196,9 @@ def judged(pages: DataFrame, rules=RULES, least_support: float = LEAST_SUPPORT,
         .withColumn("id", F.xxhash64("url"))
     )
     labelled = urls.where("rule is not null").select(
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"), "url", "tokens",
-        rule_verdict(F.col("rule"), rules).alias("verdict"),
-    ).select(F.xxhash64("url", "copy").alias("id"), "tokens", "verdict")
-    mined = mined_rules(labelled, scratch, least_support, least_confidence)
-    found = matches(urls.where("rule is null").select("id", "tokens"), mined)
+        "id", "n", "tokens", rule_verdict(F.col("rule"), rules).alias("verdict"))
+    mined, index = mined_rules(labelled, scratch, least_support, least_confidence)
+    found = matches(urls.where("rule is null").select("id", "tokens"), mined, index)
     decided = urls.join(found, "id", "left").select("url", "confidence")
     joined = known.join(decided.withColumnRenamed("url", "u"), F.col("url").eqNullSafe(F.col("u")), "left")
     method = F.when(F.col("confidence").isNotNull(), BLOCK).otherwise(ALLOW)
