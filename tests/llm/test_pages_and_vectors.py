@@ -82,6 +82,32 @@ def pages_for_archives():
     return rows
 
 
+def test_scans_of_other_splits_agree(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, f"http://h/{i}", cases.sentence(rng, 30)) for i in range(250)]
+    rows += [(1000 + i, f"http://h/{i}", rows[i % 50][2]) for i in range(40)]
+    rows += [rows[7]] * 10 + [(8, None, rows[7][2])] * 5 + [(9, "http://h/9", rows[9][2])] * 5
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(rows, PAGES).repartition(6).write.parquet(path)
+    save, turn = Scratch.save, []
+
+    def other_splits(self, df):
+        # as when executors come and go between two scans of the input
+        turn.append(1)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(4000 * (1 + len(turn) % 3)))
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        return save(self, df)
+
+    monkeypatch.setattr(Scratch, "save", other_splits)
+    try:
+        manifest = warc.write_archives(spark.read.parquet(path), f"file://{tmp_path}/archives")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    kinds = Counter(r["record_type"] for r in warc.read_archives(manifest).collect())
+    assert kinds == {"response": 250, "revisit": 60}
+
+
 @pytest.mark.parametrize("split", [200, 1 << 20])
 def test_archives_give_back_what_was_written(spark, tmp_path, split):
     rows = pages_for_archives()

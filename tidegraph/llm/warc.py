@@ -13,10 +13,10 @@ end for the last one. What lies inside a record it has read is not searched. A
 record is inflated in chunks.
 
 Defined cases: a null html is an empty payload; equal empty payloads are
-revisits like others; rows with equal ids and payloads each have a record, the
-first as written being the response and the others revisiting it; an id may be
-null and then comes last among equal payloads; an empty table gives no archives
-and no records. Other columns are not looked at.
+revisits like others; rows with equal ids and payloads each have a record, one of
+the least URL being the response and the others revisiting it; an id may be null
+and then comes last among equal payloads; an empty table gives no archives and no
+records. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -98,21 +98,17 @@ def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 # ---- writing --------------------------------------------------------------
 
-DIGESTED = "page_id long, url string, html string, digest string, n_bytes long, row long"
+DIGESTED = "page_id long, url string, html string, digest string, n_bytes long"
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows with their payloads' digests and lengths, and a number of each row
-    that is the same whenever this task runs."""
-    row = TaskContext.get().partitionId() << 40
+    """The rows with their payloads' digests and lengths."""
     for batch in batches:
         payloads = [(t or "").encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(map(digest_of, payloads), pa.string()),
-             pa.array(map(len, payloads), pa.int64()),
-             pa.array(range(row, row + len(payloads)), pa.int64())],
+             pa.array(map(len, payloads), pa.int64())],
             names=[f.split()[0] for f in DIGESTED.split(", ")])
-        row += len(payloads)
 
 
 MANIFEST = "archive string, bytes long, records long"
@@ -152,21 +148,42 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 def write_archives(pages: DataFrame, folder: str, revisit_from: int = REVISIT_FROM) -> DataFrame:
     """Write ``pages(page_id, url, html)``; ``archive, bytes, records`` per file.
 
-    The response among equal payloads is found by a minimum per digest, taken in
-    each task first. The join back to the rows splits a hot digest.
+    Rows are known by what they hold and never by their place in a task, which may
+    change between two scans: equal rows are counted once, without html, and written
+    as often as counted. The response among equal payloads is the least of these rows,
+    by id and URL. Only responses take part in the second scan; where equal rows share
+    one, it is made distinct.
     """
     ship_package(pages.sparkSession)
     scratch = Scratch(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(
         _digested, DIGESTED)
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
-    first = scratch.save(rows.groupBy("digest").agg(F.min(order).alias("first")).select(
-        "digest", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row")))
-    response = (F.col("row") == F.col("first_row")) | (F.col("n_bytes") < revisit_from)
-    chosen = rows.join(first, "digest").select(
-        "page_id", "url", F.when(response, F.coalesce("html", F.lit(""))).alias("html"), "n_bytes", "digest",
-        F.when(response, "response").otherwise("revisit").alias("kind"),
-        F.when(~response, F.col("first_id")).alias("refers_to"))
+    known = scratch.save(rows.groupBy("digest", "n_bytes", "page_id", "url").agg(F.count("*").alias("copies")))
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
+    first = scratch.save(known.groupBy(F.col("digest").alias("same")).agg(F.min(order).alias("first")))
+    is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
+    told = known.join(first, F.col("digest") == F.col("same")).select(
+        "page_id", "url", "n_bytes", "digest", "copies", F.col("first.page_id").alias("refers_to"),
+        F.when(F.col("n_bytes") < revisit_from, F.col("copies")).when(is_first, 1).otherwise(0)
+        .cast("long").alias("responses"))
+    told = scratch.save(told)
+    revisits = told.where("copies > responses").select(
+        "page_id", "url", F.lit(None).cast("string").alias("html"), "n_bytes", "digest",
+        F.lit("revisit").alias("kind"), "refers_to",
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies") - F.col("responses"))).alias("copy"))
+    key = told.where("responses > 0").select(
+        F.col("digest").alias("d"), F.col("page_id").alias("p"), F.col("url").alias("u"), "copies", "responses")
+    same = (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(
+        F.col("u"))
+    found = rows.join(key, same).select(
+        "page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "n_bytes", "digest", "copies", "responses")
+    several = found.where("copies > 1").groupBy(
+        "page_id", "url", "n_bytes", "digest", "copies", "responses").agg(F.first("html").alias("html"))
+    responses = found.where("copies = 1").unionByName(several).select(
+        "page_id", "url", "html", "n_bytes", "digest", F.lit("response").alias("kind"),
+        F.lit(None).cast("long").alias("refers_to"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("responses"))).alias("copy"))
+    chosen = responses.unionByName(revisits).drop("copy")
     return scratch.save(chosen.mapInArrow(lambda b: _write(b, folder), MANIFEST))
 
 
