@@ -366,26 +366,27 @@ REPORT = (
 def _report_rows(batches):
     """The rows of each batch's documents, from what its pairs count corpus-wide."""
     for batch in batches:
-        for row in batch.to_pylist():
-            count = np.zeros(row["n_pairs"], np.int64)
-            best = np.zeros(row["n_pairs"], np.int64)
-            if row["counted"]:
-                pair, total, is_best = zip(*(c.values() for c in row["counted"]))
-                count[list(pair)], best[list(pair)] = total, is_best
-            links = np.frombuffer(zlib.decompress(row["links"]), "<u4")
-            words = np.frombuffer(zlib.decompress(row["words"]), "<u4")
-            cuts = np.append(0, np.cumsum(row["links_of"], dtype=np.int64))
-            ends = np.append(0, np.cumsum(row["n_words"], dtype=np.int64))
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i] for name in batch.schema.names}
+            count = np.zeros(row["n_pairs"].as_py(), np.int64)
+            best = np.zeros(len(count), np.int64)
+            if row["counted"].is_valid:
+                place, total, is_best = row["counted"].values.flatten()
+                count[place] = total
+                best[place] = is_best.to_numpy(zero_copy_only=False)
+            links = np.frombuffer(zlib.decompress(row["links"].as_py()), "<u4")
+            words = np.frombuffer(zlib.decompress(row["words"].as_py()), "<u4")
+            cuts = np.append(0, np.cumsum(row["links_of"].values.to_numpy()))
+            ends = np.append(0, np.cumsum(row["n_words"].values.to_numpy()))
             sums = []
             for value in (best, count):
                 upto = np.append(0, np.cumsum(value[links]))
                 by_word = upto[cuts[1:]] - upto[cuts[:-1]]
                 upto = np.append(0, np.cumsum(by_word[words]))
                 sums.append(pa.array(upto[ends[1:]] - upto[ends[:-1]], pa.int64()))
-            given = [pa.array(row[k], pa.int64()) for k in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
+            given = [row[k].values for k in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
             yield pa.RecordBatch.from_arrays(
-                [*given, *sums, pa.array(row["groups_sha256"], pa.string())],
-                names=[f.split()[0] for f in REPORT.split(", ")])
+                [*given, *sums, row["groups_sha256"].values], names=[f.split()[0] for f in REPORT.split(", ")])
 
 
 def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
