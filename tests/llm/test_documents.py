@@ -1,6 +1,7 @@
 """Operators on documents against plain definitions, awkward rows included."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -116,38 +117,72 @@ def test_repeated_windows_are_counted_once(spark):
     assert row["n_repeat_words"] == 17  # twice six words, and five
 
 
-def test_posteriors_are_those_of_a_plain_estimate(spark):
-    rng = random.Random(5)
-    rows = [(rng.choice([1, 1, -1, 0]), rng.choice([1, 0, -1]), rng.choice([0, -1]), rng.randint(1, 9))
-            for _ in range(12)]
-    table = spark.createDataFrame(rows, "a int, b int, c int, n long")
-    share, right = quality.estimate(table, ["a", "b", "c"])
-    s, acc = quality.START_SHARE, {k: (0.8, 0.8) for k in range(3)}
-    for _ in range(quality.ROUNDS):
-        weights = []
-        for *votes, n in rows:
-            g, b = s, 1 - s
-            for k, v in enumerate(votes):
-                if v:
-                    g *= acc[k][0] if v > 0 else 1 - acc[k][0]
-                    b *= 1 - acc[k][1] if v > 0 else acc[k][1]
-            weights.append((n * g / (g + b), n * b / (g + b)))
-
-        def mean(k, side, vote):
-            agree = sum(w[side] for w, r in zip(weights, rows) if r[k] == vote)
-            other = sum(w[side] for w, r in zip(weights, rows) if r[k] == -vote)
-            return min(max((agree + 1.6) / (agree + other + 2), 0.5), 0.999)
-
-        new = {k: (mean(k, 0, 1), mean(k, 1, -1)) for k in range(3)}
-        good, bad = map(sum, zip(*weights))
-        s2 = min(max((good + 1) / (good + bad + 2), 0.01), 0.99)
-        done = max([abs(s - s2)] + [abs(x - y) for k in acc for x, y in zip(acc[k], new[k])]) < quality.CLOSE
-        s, acc = s2, new
-        if done:
-            break
-    assert share == pytest.approx(s, abs=1e-9)
-    for k, name in enumerate("abc"):
-        assert right[name] == pytest.approx(acc[k], abs=1e-9)
+def planted_votes(habits, share=0.8, n=30_000, seed=5):
+    rng = random.Random(seed)
+    drawn = Counter()
+    for _ in range(n):
+        side = 0 if rng.random() < share else 1
+        drawn[tuple(rng.choices(quality.VOTES, h[side])[0] for h in habits.values())] += 1
+    return sorted(drawn.items())
+
+
+HABITS = {  # of votes good, bad and none, among good and among bad documents
+    "two_sided": ((0.8, 0.05, 0.15), (0.1, 0.6, 0.3)),
+    "defect": ((0.0, 0.03, 0.97), (0.0, 0.5, 0.5)),
+    "rare_defect": ((0.0, 0.005, 0.995), (0.0, 0.2, 0.8)),
+    "praise": ((0.6, 0.0, 0.4), (0.2, 0.0, 0.8)),
+    "weak": ((0.5, 0.3, 0.2), (0.35, 0.45, 0.2)),
+    "loud": ((0.7, 0.25, 0.05), (0.2, 0.75, 0.05)),
+}
+
+
+@pytest.mark.parametrize("share", [0.6, 0.8, 0.9])
+def test_planted_habits_are_estimated(share):
+    got_share, got = quality.estimate(planted_votes(HABITS, share), list(HABITS))
+    assert got_share == pytest.approx(share, abs=0.05)
+    for name, sides in HABITS.items():
+        for mine, true in zip(got[name], sides):
+            assert mine == pytest.approx(true, abs=0.05), name
+
+
+def test_a_rule_made_noise_weighs_nothing():
+    noise = HABITS | {"loud": ((0.4, 0.55, 0.05),) * 2}
+    _, before = quality._log_odds(*quality.estimate(planted_votes(HABITS), list(HABITS)))
+    _, after = quality._log_odds(*quality.estimate(planted_votes(noise), list(HABITS)))
+    assert before["loud"][quality.BAD] < -0.9 and before["loud"][quality.GOOD] > 0.9
+    assert all(abs(after["loud"][v]) < 0.15 for v in (quality.GOOD, quality.BAD))
+    assert after["two_sided"][quality.BAD] < -2
+
+
+def test_verdicts_follow_the_data(spark):
+    # the same votes, in tables where the rules agree or don't
+    share, habits = quality.estimate(planted_votes(HABITS), list(HABITS))
+    turned = HABITS | {"two_sided": ((0.3, 0.3, 0.4),) * 2}
+    other = quality.estimate(planted_votes(turned), list(HABITS))
+    votes = [dict(zip(HABITS, (quality.BAD, 0, 0, quality.GOOD, 0, 0)))]
+    df = spark.createDataFrame(votes)
+    p, q = (df.select(quality.posterior(*m)).first()[0] for m in ((share, habits), other))
+    plain = math.log(share / (1 - share)) + sum(
+        math.log(habits[n][0][quality.VOTES.index(v)] / habits[n][1][quality.VOTES.index(v)])
+        for n, v in votes[0].items())
+    assert p == pytest.approx(1 / (1 + math.exp(-plain))) and q > 0.9 > p + 0.1
+
+
+def test_a_clean_table_is_kept(spark):
+    rng = random.Random(9)
+    rows = [(i, ". ".join(cases.sentence(rng, 12).capitalize() for _ in range(4)) + ".") for i in range(40)]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["kept"] for r in got)
+
+
+def test_junk_goes_and_prose_stays(spark):
+    rng = random.Random(10)
+    prose = [". ".join(cases.sentence(rng, 12).capitalize() for _ in range(rng.randint(2, 9))) + "."
+             for _ in range(200)]
+    junk = [" | ".join(cases.sentence(rng, 1).upper() + "!!" for _ in range(40)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(prose + junk)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in quality.quality_rules(df).collect() if r["kept"]}
+    assert kept == set(range(200))
 
 
 # --- language ----------------------------------------------------------------

@@ -1,14 +1,20 @@
 """Quality rules by weak supervision, on built-in functions only.
 
-Rules look at a document and vote good or bad, or abstain. How far each rule can
-be trusted is not set by hand and not learned from labels: expectation
-maximisation over all documents estimates, for each rule, how often its vote is
-right among good and among bad documents, together with the share of good ones.
-The verdict is the posterior probability that a document is good.
+Rules look at a document and vote good or bad, or abstain. What a vote is worth is
+not set by hand and not learned from labels: expectation maximisation over all
+documents estimates, for each rule, how often it votes good, bad or not at all
+among good and among bad documents, together with the share of good ones. A rule
+that fires equally often in both classes is noise and weighs nothing; one that is
+quiet where others find defects speaks for a document by being quiet. The verdict
+is the posterior probability that a document is good.
+
+The estimate has no floors. It starts from a weak belief about what rules mean, a
+few imagined documents for each rule and class; these fix which of the two classes
+is called good, and are outweighed by any sizeable table.
 
 Documents with the same votes are the same to the model, so it works on the
-counts of vote patterns: at most 3 to the number of rules rows, however many
-documents there are.
+counts of vote patterns: at most 3 to the number of rules, however many documents
+there are. They are fetched once, and the rounds are plain arithmetic on them.
 
 Defined cases: a null text has no words; it, like any document under the least
 number of words, fails the base rules. A base failure is never kept and does not
@@ -18,6 +24,7 @@ white space. An empty table gives no rows. Other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -123,84 +130,84 @@ def _vote(good: Column | None = None, bad: Column | None = None) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """The votes. A rule that looks for a defect abstains where there is none:
-    the lack of one defect says little. The rule on what prose looks like votes both
-    ways, and abstains between its two clear cases."""
+    """The votes. Rules on what prose looks like vote both ways and abstain between
+    their clear cases; rules on single defects vote bad or abstain."""
     words = F.col("n_words")
     chars = F.col("word_chars")
+    ends = F.col("n_ends")
     return {
-        "symbols": _vote(bad=F.col("n_symbols") > 0.2 * words),
-        "capitals": _vote(bad=F.col("n_upper") > 0.4 * F.col("word_chars")),
+        "symbols": _vote(F.col("n_symbols") == 0, F.col("n_symbols") > 0.2 * words),
+        "capitals": _vote(F.col("n_upper") < 0.1 * chars, F.col("n_upper") > 0.4 * chars),
         "repeated_words": _vote(bad=F.col("n_repeat_words") > 0.1 * words),
         "repeated_lines": _vote(bad=F.col("n_dup_lines") > 0.3 * F.col("n_lines")),
         "few_distinct_words": _vote(bad=F.col("n_distinct") < F.least(F.sqrt(words), words / 4)),
         "exclamations": _vote(bad=F.col("n_bangs") > 0.3 * words),
         "plain_words": _vote(F.col("n_plain") >= 0.9 * words, F.col("n_plain") < 0.6 * words),
-        "word_length": _vote(bad=(chars < 2 * words) | (chars > 14 * words)),
-        "sentences": _vote(bad=(words > 250 * F.col("n_ends") + 50) | (F.col("n_ends") > words)),
+        "word_length": _vote(chars.between(3 * words, 9 * words), (chars < 2 * words) | (chars > 14 * words)),
+        "sentences": _vote(ends.between(0.02 * words, 0.3 * words),
+                           (words > 250 * ends + 50) | (ends > words)),
     }
 
 
 # ---- the estimate ---------------------------------------------------------
 
-START_ACCURACY, START_SHARE = 0.8, 0.8
-SMOOTHING = 2.0  # votes of each kind, right by START_ACCURACY, added to every estimate
-ROUNDS, CLOSE = 50, 1e-6
+VOTES = (GOOD, BAD, ABSTAIN)
+START_SHARE = 0.8
+# how a rule is believed to vote among good and bad documents: good, bad, not at all
+BELIEF = ((0.55, 0.05, 0.4), (0.25, 0.35, 0.4))
+IMAGINED = 10.0  # documents of each class behind that belief, for each rule
+ROUNDS, CLOSE = 200, 1e-7
 
+# of each rule, the share of VOTES among good and among bad documents
+Habits = dict[str, tuple[tuple[float, ...], tuple[float, ...]]]
 
-def posterior(names: list[str], share: float, right: dict[str, tuple[float, float]]) -> Column:
-    """The probability of "good" given the votes, independent within each class.
 
-    ``right[rule]`` is the accuracy of its votes among good and bad documents;
-    an abstention says nothing.
-    """
-    def of(name: str) -> Column:
-        among_good, among_bad = right[name]
-        ln = lambda x: F.lit(float(x))
-        return (
-            F.when(F.col(name) == GOOD, F.log(ln(among_good)) - F.log(ln(1 - among_bad)))
-            .when(F.col(name) == BAD, F.log(ln(1 - among_good)) - F.log(ln(among_bad)))
-            .otherwise(0.0)
-        )
+def _log_odds(share: float, habits: Habits) -> tuple[float, dict[str, dict[int, float]]]:
+    """What the share and each vote add to the log odds of "good"."""
+    adds = {
+        name: {v: math.log(g / b) for v, g, b in zip(VOTES, among_good, among_bad)}
+        for name, (among_good, among_bad) in habits.items()
+    }
+    return math.log(share / (1 - share)), adds
 
-    prior = F.log(F.lit(share)) - F.log(F.lit(1 - share))
-    return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, [of(n) for n in names], prior)))
 
+def posterior(share: float, habits: Habits) -> Column:
+    """The probability of "good" given the votes, independent within each class."""
+    prior, adds = _log_odds(share, habits)
+    odds = F.lit(prior)
+    for name, of in adds.items():
+        odds = odds + (
+            F.when(F.col(name) == GOOD, of[GOOD]).when(F.col(name) == BAD, of[BAD]).otherwise(of[ABSTAIN]))
+    return 1 / (1 + F.exp(-odds))
 
-def estimate(patterns: DataFrame, names: list[str]) -> tuple[float, dict[str, tuple[float, float]]]:
-    """The share of good documents and the rules' accuracies, from
-    ``patterns(names..., n)``; each round is an aggregate over the patterns."""
-    share, right = START_SHARE, {n: (START_ACCURACY, START_ACCURACY) for n in names}
-    for _ in range(ROUNDS):
-        good = F.col("n") * F.col("p")
-        bad = F.col("n") * (1 - F.col("p"))
-        sums = [F.sum(good).alias("good"), F.sum(bad).alias("bad")]
-        for n in names:
-            for kind, vote in (("up", GOOD), ("down", BAD)):
-                here = F.col(n) == vote
-                sums.append(F.sum(F.when(here, good).otherwise(0.0)).alias(f"{n}_{kind}_good"))
-                sums.append(F.sum(F.when(here, bad).otherwise(0.0)).alias(f"{n}_{kind}_bad"))
-        # one row
-        s = patterns.withColumn("p", posterior(names, share, right)).agg(*sums).first()
-        if s["good"] is None:
-            break  # no documents
-
-        def accuracy(agree: float, other: float) -> float:
-            a = (agree + SMOOTHING * START_ACCURACY) / (agree + other + SMOOTHING)
-            return min(max(a, 0.5), 0.999)  # a rule is never taken to mean the opposite
 
+def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str]) -> tuple[float, Habits]:
+    """The share of good documents and the rules' habits, from ``(votes, documents)``."""
+    share, habits = START_SHARE, {n: BELIEF for n in names}
+    for _ in range(ROUNDS):
+        prior, adds = _log_odds(share, habits)
+        # documents of each class, in all and by rule and vote
+        total = [IMAGINED * START_SHARE, IMAGINED * (1 - START_SHARE)]
+        cast = {n: [{v: IMAGINED * p for v, p in zip(VOTES, side)} for side in BELIEF] for n in names}
+        for votes, n in patterns:
+            odds = prior + sum(adds[name][v] for name, v in zip(names, votes))
+            good = n / (1 + math.exp(-odds)) if odds > -700 else 0.0
+            total[0] += good
+            total[1] += n - good
+            for name, v in zip(names, votes):
+                cast[name][0][v] += good
+                cast[name][1][v] += n - good
+        new_share = total[0] / sum(total)
         new = {
-            n: (accuracy(s[f"{n}_up_good"], s[f"{n}_down_good"]),
-                accuracy(s[f"{n}_down_bad"], s[f"{n}_up_bad"]))
-            for n in names
+            name: tuple(tuple(side[v] / sum(side.values()) for v in VOTES) for side in sides)
+            for name, sides in cast.items()
         }
-        new_share = min(max((s["good"] + 1) / (s["good"] + s["bad"] + 2), 0.01), 0.99)
         moved = max([abs(new_share - share)] + [
-            abs(a - b) for n in names for a, b in zip(new[n], right[n])])
-        share, right = new_share, new
+            abs(x - y) for name in names for a, b in zip(new[name], habits[name]) for x, y in zip(a, b)])
+        share, habits = new_share, new
         if moved < CLOSE:
             break
-    return share, right
+    return share, habits
 
 
 # ---- the operator ---------------------------------------------------------
@@ -219,12 +226,10 @@ def judged(docs: DataFrame) -> DataFrame:
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                 "base_failed", *[v.cast("byte").alias(n) for n, v in votes.items()])
     )
-    patterns = scratch.save(
-        voted.where(~F.col("base_failed")).groupBy(*names).agg(F.count("*").alias("n"))
-        .coalesce(1).sortWithinPartitions(*names)
-    )
-    share, right = estimate(patterns, names)
-    quality = posterior(names, share, right)
+    counted = voted.where(~F.col("base_failed")).groupBy(*names).agg(F.count("*").alias("n"))
+    # at most 3 to the number of rules rows; in order, so that sums agree
+    patterns = sorted((tuple(r[n] for n in names), r["n"]) for r in counted.collect())
+    quality = posterior(*estimate(patterns, names))
     return voted.withColumn("quality", quality).withColumn(
         "kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM))
 
