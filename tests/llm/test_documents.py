@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -86,12 +87,32 @@ def test_no_task_holds_a_group_of_unlinked_classes(spark, monkeypatch):
 def test_one_of_each_group_stays(spark, docs, empty):
     kept = near_dedup.one_of_each(docs)
     assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    named = [i for i in ids if i is not None]
-    assert len(named) == len(set(named)) and ids.count(None) == 1
+    rows = cases.documents()
+    named = list({(r[0], r[1]) for r in rows if r[0] is not None})
+    sets = [(r, cases.shingles(r[1], 2)) for r in named]
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got[None, rows[-3][1]] == 1 and set(got.values()) == {1}
+    # of the texts of a group, by all pairs, one stays: of the smallest id
+    ids = list(range(len(named)))
+    parts = cases.linked_components(
+        list(zip(ids, (s for _, s in sets))), lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b))
+    for part in set(parts):
+        members = [named[i] for i in ids if parts[i] == part]
+        stay = [m for m in members if m in got]
+        assert len(stay) == 1 and stay[0][0] == min(m[0] for m in members)
     assert near_dedup.one_of_each(empty).count() == 0
 
 
+def test_ids_with_several_texts_and_map_columns(spark):
+    a, b = "alpha beta gamma delta " * 5, "some other words that are not alike at all " * 4
+    rows = [(2, a, {"x": 1}), (5, a, {"y": 2}), (5, b, {"z": 3}), (5, b, {"w": 3}), (7, None, None), (7, "", {"q": 1})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tags map<string, int>")
+    got = [(r["doc_id"], r["text"], r["tags"]) for r in near_dedup.one_of_each(df).collect()]
+    assert Counter((i, t) for i, t, _ in got) in (
+        Counter([(2, a), (5, b), (7, None)]), Counter([(2, a), (5, b), (7, "")]))
+    assert {str(m) for i, _, m in got if i == 5} == {"{'w': 3}"}
+
+
 # --- quality -----------------------------------------------------------------
 
 
@@ -344,6 +365,81 @@ def test_regions_leave_other_words_out():
     assert pii.regions(long) == [(0, len(long))]
 
 
+def viterbi(scores, trans):
+    best, back = np.where(pii._START, scores[0], pii._NEVER), []
+    for score in scores[1:]:
+        total = best[:, None] + trans
+        back.append(total.argmax(axis=0))
+        best = total.max(axis=0) + score
+    tags = [int(best.argmax())]
+    for step in reversed(back):
+        tags.append(int(step[tags[-1]]))
+    return tags[::-1]
+
+
+@pytest.mark.parametrize("n,at_once", [(5, 2), (72, 1), (400, 1), (1500, 3), (1500, 50), (4000, 2)])
+def test_stretches_decode_like_the_whole(n, at_once):
+    rng = np.random.default_rng(n + at_once)
+    trans = np.where(pii._ALLOWED, rng.normal(0, 1, (pii.N_TAGS,) * 2), pii._NEVER)
+    # long calm runs of a tag, so that spans cross the stretches
+    true = rng.normal(0, 1, (n, pii.N_TAGS)) + np.repeat(rng.normal(0, 2, (n // 60 + 1, pii.N_TAGS)), 60, 0)[:n]
+    starts = pii._windows(0, n)
+    windows = [np.pad(true[s : s + pii.WINDOW], ((0, max(0, s + pii.WINDOW - n)), (0, 0))) for s in starts]
+    decoder, got = pii.Decoder(trans), []
+    for i in range(0, len(starts), at_once):
+        last = i + at_once >= len(starts)
+        done = n if last else starts[i + at_once]
+        got += decoder.feed(starts[i : i + at_once], windows[i : i + at_once], done, last)
+    tags, expected = viterbi(true, trans) + [0], []
+    for i, t in enumerate(tags):
+        if t % 2 == 1:
+            end = i + 1
+            while tags[end] == t + 1:
+                end += 1
+            expected.append((i, end, (t - 1) // 2))
+    assert [g[:3] for g in got] == expected
+    for start, end, _, sure in got:
+        a, b = max(0, start - pii.CONTEXT), min(n, end + pii.CONTEXT)
+        p = pii.crf_marginals(true[a:b, None], trans)[0][:, 0]
+        assert sure == pytest.approx(np.mean([p[j - a, tags[j]] for j in range(start, end)]))
+
+
+def test_a_long_region_takes_bounded_memory():
+    rng = np.random.default_rng(1)
+    tagger, peaks = pii.Tagger.new(rng), []
+    for n in (60_000, 240_000):
+        text = "".join(map(str, rng.integers(0, 10, n)))
+        tracemalloc.start()
+        pii.Reader(tagger).spans([text])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0] < 120e6
+
+
+def test_respelled_data_is_found_whole():
+    rng = random.Random(7)
+    prose = [cases.sentence(rng, 60) + "." for _ in range(300)]
+    tagger = pii.train([p[:30] + f" on {rng.randint(1, 99)} " + p[30:60] for p in prose[:100]])
+    reader, draw = pii.Reader(tagger), np.random.default_rng(77)
+    texts, wanted = [], []
+    for i in range(400):
+        kind = pii.KINDS[i % 4]
+        span = pii._made_up(draw, kind)
+        while any(k == kind for *_, k in pii.base_spans(span)):  # what the patterns miss
+            span = pii._made_up(draw, kind)
+        text = prose[100 + i % 200]
+        cut = text.find(" ", 100) + 1
+        texts.append(text[:cut] + span + " " + text[cut:])
+        wanted.append((cut, cut + len(span), kind))
+    found = [pii.all_spans(pii.base_spans(t), s) for t, s in zip(texts, reader.spans(texts))]
+    for kind in pii.KINDS:
+        here = [(w, f) for w, f in zip(wanted, found) if w[2] == kind]
+        assert sum(w in f for w, f in here) >= 0.9 * len(here), kind
+    reported = sum(map(len, found))
+    assert sum(w in f for w, f in zip(wanted, found)) >= 0.9 * reported
+    assert sum(map(len, reader.spans(prose))) <= 3
+
+
 def test_made_up_spans_are_whole_in_training():
     codes, tags = pii.training_set(["only words without any numbers stand in here " * 3] * 40)
     starts = sum(int(((t > 0) & (t % 2 == 1)).any()) for t in tags)

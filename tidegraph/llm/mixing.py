@@ -84,8 +84,9 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_SOURCES else df
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most_repeats: int = MOST_REPEATS) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` per row of ``docs``."""
+def mix(docs: DataFrame, weights=WEIGHTS, most_repeats: int = MOST_REPEATS, *more: str) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` per row of ``docs``, and ``more``: the
+    source, if asked for."""
     scratch = Scratch(docs.sparkSession)
     first, second = _FINE_BITS
     sized = scratch.save(
@@ -138,8 +139,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, most_repeats: int = MOST_REPEATS) -> D
         .when(F.col("place") == F.col("b3"), F.expr("left * size div there"))
         .otherwise(0)
     )
-    return sized.join(plan, same_source(sized, plan), "left").select(
-        "doc_id", "size", "source_size", "target",
+    plan = plan.withColumnRenamed("source", "of")
+    return sized.join(plan, sized["source"].eqNullSafe(plan["of"]), "left").select(
+        *more, "doc_id", "size", "source_size", "target",
         (F.col("times") * F.col("size") + extra).cast("long").alias("taken"),
     )
 
@@ -148,15 +150,17 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, most_repeats: int = MOST_R
     """The documents of the mix, with the columns of ``docs``.
 
     A document is repeated as often as its taken words hold it, to the nearest
-    whole number; whole documents only. Rows of one id and size stand for the
+    whole number; whole documents only. Rows of one id, size and source stand for the
     same share. A document without a word is kept once.
     """
-    taken = mix(docs, weights, most_repeats).groupBy("doc_id", "size").agg(
+    taken = mix(docs, weights, most_repeats, "source").groupBy("source", "doc_id", "size").agg(
         F.max("taken").alias("taken"))
     # the row travels whole, so that no column of its own meets these
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"),
-                       n_words(F.col("text")).alias("words"))
-    joined = rows.join(taken, rows["id"].eqNullSafe(taken["doc_id"]) & (rows["words"] == taken["size"]))
+                       F.col("source").alias("from"), n_words(F.col("text")).alias("words"))
+    joined = rows.join(
+        taken, rows["id"].eqNullSafe(taken["doc_id"]) & (rows["words"] == taken["size"])
+        & rows["from"].eqNullSafe(taken["source"]))
     copies = F.when(F.col("size") == 0, 1).otherwise(
         F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).cast("int")
     return (

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.llm.components import components
@@ -87,14 +87,14 @@ def set_key(shingles: np.ndarray) -> bytes:
     ).tobytes()
 
 
-SIGNED = "doc_id long, n_shingles long, node binary, signature binary, sketch binary"
+SIGNED = "doc_id long, digest binary, n_shingles long, node binary, signature binary, sketch binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, nodes, signatures, sketches = [], [], [], []
         for at in range(0, batch.num_rows, 512):
-            for words in word_hashes(batch.column(1).slice(at, 512).to_pylist()):
+            for words in word_hashes(batch.column(2).slice(at, 512).to_pylist()):
                 shingles = shingle_set(words, width)
                 sizes.append(len(shingles))
                 if len(shingles):
@@ -105,7 +105,7 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
                 else:
                     nodes.append(None), signatures.append(None), sketches.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
              pa.array(signatures, pa.binary()), pa.array(sketches, pa.binary())],
             names=[f.split()[0] for f in SIGNED.split(", ")],
         )
@@ -394,12 +394,19 @@ def confirmed_links(members: DataFrame, width: int, percent: int, scratch: Scrat
 # ---- the operator ---------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per row of ``docs``."""
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``doc_id, digest, n_shingles, component, component_id`` per row of ``docs``: the
+    digest of its text, and the group of its shingle set with the smallest id there;
+    without shingles or an id there is no group."""
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), _digest(F.col("text")).alias("digest"), "text")
     signed = scratch.save(texts.mapInArrow(lambda b: _sign(b, width), SIGNED))
     classes = scratch.save(
         signed.where("node is not null and doc_id is not null").groupBy("node").agg(
@@ -425,11 +432,20 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
         classes.select("node", "first_id").join(parts, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
-    least = ids.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_node = ids.join(least, "component").select("node", "component_id")
-    found = signed.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    # hidden, so that the join shuffles both sides for itself and can split a hot group
+    least = ids.groupBy("component").agg(F.min("first_id").alias("component_id")).withColumn(
+        "component", F.concat("component", F.lit(b"")))
+    by_node = ids.join(least, "component").select("node", "component", "component_id")
+    found = signed.select("doc_id", "digest", "n_shingles", "node").join(by_node, "node", "left")
+    named = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
+    return found.select("doc_id", "digest", "n_shingles", named("component"), named("component_id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` per row of ``docs``."""
+    component = F.coalesce("component_id", "doc_id")
+    return classified(docs, width, percent).select(
+        "doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -448,15 +464,24 @@ def _with_node(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
 
 
 def one_of_each(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group; rows of one id are one document.
+    """``docs`` with one document of each group.
 
-    The document kept is the one with the smallest id; of several rows with this
-    id, the one whose columns are smallest in order. Rows without an id stay.
+    A document is an id with its text: rows that repeat both are one, and one id can
+    stand for several. Of a group, that of the smallest id stays, and of several with
+    this id that of the smallest digest; of rows that repeat one, the first as JSON.
+    Documents without a word are groups of their own, and rows without an id stay.
     """
-    kept = near_duplicates(docs, width, percent).where("kept").select(
-        F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    once = named.join(kept, named["doc_id"].cast("long") == kept["_kept"], "left_semi")
-    rows = once.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return rows.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]).unionByName(
-        docs.where(F.col("doc_id").isNull()))
+    named = classified(docs, width, percent).where("doc_id is not null").groupBy(
+        "doc_id", "digest").agg(F.count("*").alias("rows"), F.first("component").alias("component"))
+    named = Scratch(docs.sparkSession).save(named)
+    first = named.where("component is not null").groupBy("component").agg(
+        F.min(F.struct("doc_id", "digest", "rows")).alias("first")).select("first.*")
+    kept = first.unionByName(named.where("component is null").select("doc_id", "digest", "rows"))
+    # the row travels whole, so that no column of its own meets these
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+                       _digest(F.col("text")).alias("digest"))
+    found = rows.join(kept, ["doc_id", "digest"])
+    several = found.where("rows > 1").groupBy("doc_id", "digest").agg(
+        F.min_by("row", F.to_json("row")).alias("row"))
+    once = found.where("rows = 1").select("row").unionByName(several.select("row"))
+    return once.unionByName(rows.where("doc_id is null").select("row")).select("row.*")

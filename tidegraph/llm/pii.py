@@ -10,10 +10,14 @@ a bounded sample of snippets (``SNIPPETS`` of ``SNIPPET_CHARS``) and from respel
 copies of such spans set into the same snippets. It reads the neighbourhood of
 every place where personal data could be: each digit or ``@``, each "at" or "dot"
 in brackets, each "dot" as a word, and each word "at" before something with a dot.
-A neighbourhood ends between words; those that touch become one region; a region is read in overlapping
-windows, the windows' scores are averaged with weights that fall towards their
-ends, and one Viterbi pass decodes the whole region. A decoded span counts if its
-mean probability is high and it has what its kind needs (enough digits, an "at").
+A neighbourhood ends between words; those that touch become one region. A region
+is read in overlapping windows, whose scores are averaged with weights that fall
+towards their ends, and one Viterbi pass decodes the whole region, however long: it
+goes on from stretch to stretch, and what all its survivors agree on is decided and
+let go. A decoded span counts if its mean probability, within ``CONTEXT`` characters
+around it, is high and it has what its kind needs (enough digits, an "at"; none is
+longer than ``LONGEST``). An address gives up words at its ends that do not belong
+to it by the way addresses are spelled out.
 
 Defined cases: a null text is empty and has no spans; equal spans of different
 kinds are all reported; rows are independent of each other, and repeated ones
@@ -104,6 +108,7 @@ HIDDEN, EMBED, WINDOW, STRIDE, MARGIN = 20, 12, 72, 36, 24
 EPOCHS, RATE, BATCH = 24, 0.02, 32
 SNIPPETS, SNIPPET_CHARS = 400, WINDOW
 LEAST_PROBABILITY = 0.9
+LONGEST, CONTEXT = 1000, 2 * WINDOW  # characters of a span, and on both sides of it
 N_CODES = 128 + 4
 
 
@@ -262,19 +267,6 @@ def crf_marginals(scores: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np
     return found / found.sum(axis=2, keepdims=True), pairs
 
 
-def viterbi(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """The best tags of one sequence of scores (time, tags)."""
-    best, back = np.where(_START, scores[0], _NEVER), []
-    for i in range(1, len(scores)):
-        total = best[:, None] + trans
-        back.append(total.argmax(axis=0))
-        best = total.max(axis=0) + scores[i]
-    tags = [int(best.argmax())]
-    for step in reversed(back):
-        tags.append(int(step[tags[-1]]))
-    return np.array(tags[::-1])
-
-
 # ---- training -------------------------------------------------------------
 
 
@@ -387,7 +379,7 @@ def train(snippets: list[str], seed: int = 5) -> Tagger:
 # ---- reading whole texts --------------------------------------------------
 
 _PLACE = re.compile(
-    r"[0-9@]|[(\[{<]\s?(?:at|dot|\.)\s?[)\]}>]|(?<=\s)(?:dot|\.)(?=\s)"
+    r"[0-9@]++|[(\[{<]\s?(?:at|dot|\.)\s?[)\]}>]|(?<=\s)(?:dot|\.)(?=\s)"
     r"|(?<=\s)at(?=\s+[^\s.]+(?:\.\w|\s*[(\[{<]?\s*dot\b|\s+\.\s))", re.I)
 _SPACE = re.compile(r"\s")
 _AT = re.compile(r"@|[(\[{ ]\s?at\s?[)\]} ]", re.I)
@@ -422,6 +414,86 @@ _WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(
 READ_AT_ONCE = 512
 
 
+class Decoder:
+    """One Viterbi pass over a region that comes in stretches. Arrays begin at
+    ``first``; places below ``first + len(tags)`` are decided."""
+
+    def __init__(self, trans: np.ndarray):
+        self.trans, self.first = trans, 0
+        self.sums = np.zeros((0, N_TAGS + 1))  # weighed scores and weights, still growing
+        self.mean = np.zeros((0, N_TAGS))
+        self.back = np.zeros((0, N_TAGS), np.int8)
+        self.tags = np.zeros(0, np.int64)
+        self.best: np.ndarray | None = None
+        self.told = 0  # spans that start before were handed out
+
+    def feed(self, starts: list[int], scores: np.ndarray, done: int, last: bool) -> Iterator[tuple]:
+        """Windows in order; ``done`` is the place from which more may come. The
+        spans that are certain now: start, end, number of the kind, probability."""
+        at = self.first + len(self.mean)
+        end = max([at + len(self.sums), *(min(s + WINDOW, done) if last else s + WINDOW for s in starts)])
+        self.sums = np.pad(self.sums, ((0, end - at - len(self.sums)), (0, 0)))
+        for start, window in zip(starts, scores):
+            n = min(WINDOW, end - start)
+            self.sums[start - at : start - at + n, :N_TAGS] += window[:n] * _WEIGHT[:n, None]
+            self.sums[start - at : start - at + n, N_TAGS] += _WEIGHT[:n]
+        ready, self.sums = self.sums[: done - at], self.sums[done - at :]
+        self._step(ready[:, :N_TAGS] / ready[:, N_TAGS:])
+        self._decide(last)
+        yield from self._closed(done, last)
+
+    def _step(self, mean: np.ndarray) -> None:
+        back = np.zeros((len(mean), N_TAGS), np.int8)
+        for i, score in enumerate(mean):
+            if self.best is None:
+                self.best = np.where(_START, score, _NEVER)
+                continue
+            total = self.best[:, None] + self.trans
+            back[i] = total.argmax(axis=0)
+            self.best = total.max(axis=0) + score
+        if self.best is not None:
+            self.best = self.best - self.best.max()
+        self.mean, self.back = np.concatenate((self.mean, mean)), np.concatenate((self.back, back))
+
+    def _decide(self, last: bool) -> None:
+        known, n = len(self.tags), len(self.mean)
+        if known == n:
+            return
+        paths = np.array([self.best.argmax()]) if last else np.arange(N_TAGS)
+        i = n - 1
+        while len(paths) > 1 and i > known:  # back to where all survivors agree
+            paths = np.unique(self.back[i][paths])
+            i -= 1
+        if len(paths) > 1:
+            return
+        tags = [int(paths[0])]
+        for j in range(i, known, -1):
+            tags.append(int(self.back[j][tags[-1]]))
+        self.tags = np.concatenate((self.tags, tags[::-1])).astype(np.int64)
+
+    def _closed(self, done: int, last: bool) -> Iterator[tuple]:
+        tags, keep = self.tags, self.first + len(self.tags)
+        for j in np.flatnonzero(tags % 2 == 1):
+            start = self.first + int(j)
+            if start < self.told:
+                continue
+            others = np.flatnonzero(tags[j + 1 :] != tags[j] + 1)
+            end = start + 1 + int(others[0]) if len(others) else self.first + len(tags)
+            if not last and end - start <= LONGEST and (not len(others) or end + CONTEXT > done):
+                keep = start
+                break
+            self.told = start + 1
+            if end - start <= LONGEST:
+                a, b = max(0, int(j) - CONTEXT), end - self.first + CONTEXT
+                sure, _ = crf_marginals(self.mean[a:b, None, :], self.trans)
+                places = np.arange(start, end) - self.first
+                yield start, end, (int(tags[j]) - 1) // 2, float(sure[places - a, 0, tags[places]].mean())
+        drop = min(keep, self.first + len(self.tags)) - CONTEXT - self.first
+        if drop > 0:
+            self.first += drop
+            self.mean, self.back, self.tags = self.mean[drop:], self.back[drop:], self.tags[drop:]
+
+
 class Reader:
     """Spans of the model in whole texts; windows of many texts are read together."""
 
@@ -431,66 +503,66 @@ class Reader:
 
     def spans(self, texts: list[str]) -> list[list[Span]]:
         found: list[list[Span]] = [[] for _ in texts]
-        open_regions: list[tuple[int, int, int]] = []
-        size = 0
+        pieces, size = [], 0
         for i, text in enumerate(texts):
             for a, b in regions(text):
-                open_regions.append((i, a, b))
-                size += -(-(b - a) // STRIDE)
-                if size >= READ_AT_ONCE:
-                    self._read(open_regions, texts, found)
-                    open_regions, size = [], 0
-        self._read(open_regions, texts, found)
+                decoder, starts = Decoder(self.trans), _windows(0, b - a)
+                for at in range(0, len(starts), READ_AT_ONCE):
+                    some = starts[at : at + READ_AT_ONCE]
+                    last = at + READ_AT_ONCE >= len(starts)
+                    done = b - a if last else starts[at + READ_AT_ONCE]
+                    pieces.append((i, a, b, decoder, some, done, last))
+                    size += len(some)
+                    if size >= READ_AT_ONCE:
+                        self._read(pieces, texts, found)
+                        pieces, size = [], 0
+        self._read(pieces, texts, found)
         return found
 
-    def _scores(self, windows: list[np.ndarray]) -> np.ndarray:
-        """(windows, WINDOW, tags)"""
-        parts = [
-            self.tagger.scores(np.stack(windows[at : at + READ_AT_ONCE]).T)[0].transpose(1, 0, 2)
-            for at in range(0, len(windows), READ_AT_ONCE)
-        ]
-        return np.concatenate(parts).astype(np.float64)
-
-    def _read(self, some: list[tuple[int, int, int]], texts: list[str], found: list[list[Span]]) -> None:
-        if not some:
+    def _read(self, pieces: list[tuple], texts: list[str], found: list[list[Span]]) -> None:
+        if not pieces:
             return
-        windows, where = [], []
-        for r, (i, a, b) in enumerate(some):
-            codes = encode(texts[i][a:b])
-            for w in _windows(0, b - a):
-                part = codes[w : w + WINDOW]
+        windows = []
+        for i, a, b, _, starts, _, _ in pieces:
+            codes = encode(texts[i][a + starts[0] : min(b, a + starts[-1] + WINDOW)])
+            for w in starts:
+                part = codes[w - starts[0] : w - starts[0] + WINDOW]
                 windows.append(np.pad(part, (0, WINDOW - len(part)), constant_values=32))
-                where.append((r, w))
-        scores = self._scores(windows)
-        total = [np.zeros((b - a, N_TAGS)) for _, a, b in some]
-        weight = [np.zeros((b - a, 1)) for _, a, b in some]
-        for (r, w), s in zip(where, scores):
-            n = min(WINDOW, len(total[r]) - w)
-            total[r][w : w + n] += s[:n] * _WEIGHT[:n, None]
-            weight[r][w : w + n] += _WEIGHT[:n, None]
-        for (i, a, _), t, w in zip(some, total, weight):
-            mean = t / w
-            tags = viterbi(mean, self.trans)
-            if tags.any():
-                found[i] += self._decoded(mean, tags, texts[i], a)
-
-    def _decoded(self, scores: np.ndarray, tags: np.ndarray, text: str, at: int) -> Iterator[Span]:
-        sure, _ = crf_marginals(scores[:, None, :], self.trans)
-        p = np.take_along_axis(sure[:, 0], tags[:, None], 1)[:, 0]
-        starts = [j for j in np.flatnonzero(tags) if tags[j] % 2 == 1]
-        for j in starts:
-            end = j + 1
-            while end < len(tags) and tags[end] == tags[j] + 1:
-                end += 1
-            kind = KINDS[(tags[j] - 1) // 2]
-            if p[j:end].mean() >= LEAST_PROBABILITY and plausible(text[at + j : at + end], kind):
-                yield at + int(j), at + int(end), kind
+        scores = np.concatenate([
+            self.tagger.scores(np.stack(windows[at : at + READ_AT_ONCE]).T)[0].transpose(1, 0, 2)
+            for at in range(0, len(windows), READ_AT_ONCE)]).astype(np.float64)
+        at = 0
+        for i, a, _, decoder, starts, done, last in pieces:
+            part = scores[at : at + len(starts)]
+            at += len(starts)
+            for start, end, kind, sure in decoder.feed(starts, part, done, last):
+                if sure >= LEAST_PROBABILITY:
+                    span = trimmed(texts[i], a + start, a + end, KINDS[kind])
+                    if plausible(texts[i][span[0] : span[1]], span[2]):
+                        found[i].append(span)
+
+
+_SPELLED = re.compile(
+    r"[\w.%+-]+(?:@|\s?[(\[{<]\s?(?:at|@)\s?[)\]}>]\s?|\s+(?:at|@)\s+)[\w-]+"
+    r"(?:(?:\.|\s?[(\[{<]\s?(?:dot|\.)\s?[)\]}>]\s?|\s+(?:dot|\.)\s+)[\w-]+)+", re.I)
+
+
+def trimmed(text: str, start: int, end: int, kind: str) -> Span:
+    """The span, of an address only what is spelled as one."""
+    if kind == "email":
+        # whole words
+        while start > 0 and end - start < LONGEST and not text[start - 1].isspace() and text[start].isalnum():
+            start -= 1
+        found = _SPELLED.search(text, start, min(len(text), end + WINDOW))
+        if found and found.start() < end:
+            return found.start(), found.end(), kind
+    return start, end, kind
 
 
 def plausible(span: str, kind: str) -> bool:
     """What a span of the kind must have, however it is spelled."""
     digits = _digits(span)
-    if span != span.strip() or "\n" in span:
+    if span != span.strip() or "\n" in span or len(span) > LONGEST:
         return False
     if kind == "email":
         return bool(_AT.search(span)) and bool(re.search(r"\.|dot", span, re.I)) and len(span) >= 6
