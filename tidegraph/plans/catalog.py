@@ -28,6 +28,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from tidegraph.plans import (  # noqa: F401
         command_queries,
+        file_queries,
         graph_queries,
         message_queries,
         stream_queries,

@@ -19,6 +19,7 @@ from tidegraph.streaming import jobs
 from tidegraph.streaming.store import GraphStore
 
 _CAUGHT_UP = {"availableNow": True}
+BUCKETS = 8  # of a store of one run over one table
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +37,7 @@ def _command_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed_graph(spark: SparkSession, sf_dir: str, mode: str):
     folder = scratch_folder(spark, "graph-stream")
-    store = GraphStore(spark, f"{folder}/marks", mode)
+    store = GraphStore(spark, f"{folder}/marks", mode, buckets=BUCKETS)
     stream = _command_stream(spark, sf_dir)
     jobs.run_graph(stream, store, f"{folder}/progress", _CAUGHT_UP).awaitTermination()
     return store.graph()
@@ -55,7 +56,7 @@ def streamed_vertices_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ctes(COMMANDS, graph("ordered")) + "select src, dst, attr from edges")
 def streamed_reduced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "reduced-stream")
-    store = GraphStore(spark, f"{folder}/marks", "batch")
+    store = GraphStore(spark, f"{folder}/marks", "batch", buckets=BUCKETS)
     jobs.run_graph(
         _command_stream(spark, sf_dir),
         store,
@@ -80,7 +81,7 @@ def _events_in_files(spark: SparkSession, sf_dir: str, folder: str, *deal: str)
 def streamed_edges_many_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several micro-batches, merged over bases that are compacted and pruned."""
     folder = scratch_folder(spark, "many-batches")
-    store = GraphStore(spark, f"{folder}/marks", "ordered")
+    store = GraphStore(spark, f"{folder}/marks", "ordered", buckets=BUCKETS)
     jobs.run_graph(
         _events_in_files(spark, sf_dir, folder), store, f"{folder}/progress", _CAUGHT_UP, compact_every=3
     ).awaitTermination()
@@ -91,7 +92,7 @@ def streamed_edges_many_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_late_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every micro-batch has commands of batches early and late."""
     folder = scratch_folder(spark, "late-batches")
-    store = GraphStore(spark, f"{folder}/marks", "batch")
+    store = GraphStore(spark, f"{folder}/marks", "batch", buckets=BUCKETS)
     jobs.run_graph(
         _events_in_files(spark, sf_dir, folder, "event_type"),
         store, f"{folder}/progress", _CAUGHT_UP, compact_every=3,
@@ -104,7 +105,7 @@ def streamed_split_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each batch are spread over micro-batches and still apply in
     their order."""
     folder = scratch_folder(spark, "split-batch")
-    store = GraphStore(spark, f"{folder}/marks", "batch")
+    store = GraphStore(spark, f"{folder}/marks", "batch", buckets=BUCKETS)
     jobs.run_graph(
         _events_in_files(spark, sf_dir, folder, "event_id"), store, f"{folder}/progress", _CAUGHT_UP,
         reduce_first=True, compact_every=4,
@@ -121,7 +122,7 @@ def streamed_edges_with_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aged edges leave the running graph."""
     folder = scratch_folder(spark, "expiring")
     now = F.expr(f"timestamp_ntz '{AS_OF}'")
-    store = GraphStore(spark, f"{folder}/marks", "ordered")
+    store = GraphStore(spark, f"{folder}/marks", "ordered", buckets=BUCKETS)
     stream = _events_in_files(spark, sf_dir, folder).filter(F.col("ts") <= now)
     jobs.run_graph(stream, store, f"{folder}/progress", _CAUGHT_UP, compact_every=3).awaitTermination()
     return store.graph(as_of=now, ttl_seconds=TTL_SECONDS).edges

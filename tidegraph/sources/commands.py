@@ -284,7 +284,7 @@ def read_frames_as_batches(
     file_col: str = "file",
     line_col: str = "line_no",
     section_lines: int = 1 << _ROW_BITS,
-    mode: str = "drop",
+    mode: str = "fail",
 ) -> DataFrame:
     """Commands of framed files; each frame that holds a command is a batch.
 

@@ -7,19 +7,20 @@ and returns a started query. ``trigger`` is passed on to Spark, for example
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 from collections import deque
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidegraph.functions.times import epoch_micros
 from tidegraph.model import ADD_EDGE, EDGE_KEY, RMV_EDGE
 from tidegraph.operators.tweets import count_messages, word_counts
-from tidegraph.sources.commands import with_line_no
+from tidegraph.sources.commands import read_numbered_batches, with_line_no
 from tidegraph.sources.snapshots import write_snapshot
 from tidegraph.streaming.store import GraphStore
 
@@ -27,6 +28,7 @@ from tidegraph.streaming.store import GraphStore
 BATCH_INTERVAL = {"processingTime": "15 seconds"}
 TICK = {"processingTime": "5 seconds"}
 
+_EVENT_TIME = "_event_time"
 _LINES_PER_BATCH = Decimal(1 << 63)  # line numbers are longs
 
 
@@ -48,6 +50,9 @@ def run_graph(
     reduce_first: bool = False,
     compact_every: int | None = None,
     after_batch: Callable[[GraphStore, int], None] | None = None,
+    lateness: str | None = None,
+    ttl_seconds: int | None = None,
+    key_at: Callable[[dt.datetime], int] | None = None,
 ) -> StreamingQuery:
     """Keep a stored graph up to date with a stream of commands.
 
@@ -57,16 +62,40 @@ def run_graph(
     needs a ``seq`` column or the file columns to derive one from.
 
     With ``compact_every`` the marks are merged that often; deltas a base holds
-    and all but the last two bases are deleted. Empty micro-batches are skipped. A micro-batch that runs again after a
-    failure replaces what its first run stored.
+    and all but the last two bases are deleted. Empty micro-batches are skipped. A
+    micro-batch that runs again after a failure replaces what its first run stored.
+
+    With ``lateness`` the query has a watermark on ``ts``, and compaction collects
+    what it has passed: edges not added for ``ttl_seconds`` before it, and, if
+    ``key_at`` tells the first order key that can come at a moment or later, removals
+    and removed edges older than that. Commands with older keys are then refused.
+    The watermark is read from the query's own progress, so it is that of the
+    micro-batch before, or earlier.
     """
+    started: list[StreamingQuery] = []
+    if lateness is not None:
+        commands = commands.withColumn(_EVENT_TIME, F.col("ts").cast("timestamp")).withWatermark(
+            _EVENT_TIME, lateness)
+
+    def compact(number: int) -> None:
+        passed = _watermark(started[0]) if started and lateness is not None else None
+        if passed is None:
+            store.compact(number)
+            return
+        as_of = F.to_timestamp(F.lit(passed.isoformat())).cast(store.ts_type)
+        store.compact(
+            number,
+            settled=key_at(passed) if key_at is not None else None,
+            as_of=as_of if ttl_seconds is not None else None,
+            ttl_seconds=ttl_seconds,
+        )
 
     def store_batch(batch: DataFrame, number: int) -> None:
+        batch = batch.drop(_EVENT_TIME)
         if reduce_first:
             if "seq" not in batch.columns:
                 batch = with_line_no(batch).withColumnRenamed("line_no", "seq")
-            key = (F.col("batch_id") * F.lit(_LINES_PER_BATCH) + F.col("seq")).cast("decimal(38,0)")
-            batch = batch.withColumn("seq", key).withColumn("batch_id", key)
+            batch = _by_line(batch)
         # Edge and vertex marks both read it; a lost part is read again.
         batch = batch.persist()
         try:
@@ -76,18 +105,84 @@ def run_graph(
         finally:
             batch.unpersist()
         if compact_every and (number + 1) % compact_every == 0:
-            store.compact(number)
+            compact(number)
             store.prune(keep_bases=2)
         if after_batch is not None:
             after_batch(store, number)
 
-    return (
+    query = (
         commands.writeStream.queryName("graph")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or BATCH_INTERVAL))
         .foreachBatch(store_batch)
         .start()
     )
+    started.append(query)
+    return query
+
+
+def _watermark(query: StreamingQuery) -> dt.datetime | None:
+    """The moment a query's last finished micro-batch had passed, in UTC."""
+    progress = query.lastProgress
+    told = (progress["eventTime"] or {}).get("watermark") if progress else None
+    moment = dt.datetime.fromisoformat(told) if told else None
+    return None if moment is None or moment.timestamp() <= 0 else moment
+
+
+def run_replay(
+    files: DataFrame,
+    store: GraphStore,
+    checkpoint: str,
+    trigger: dict | None = None,
+    ordered: bool = False,
+    compact_every: int | None = None,
+    after_batch: Callable[[GraphStore, int], None] | None = None,
+) -> StreamingQuery:
+    """Keep a stored graph up to date with :func:`sources.replay.numbered_files`.
+
+    The file number is the batch; with ``ordered`` the lines of a file apply in
+    their order. Files are disposed of by the source, once their micro-batch has
+    been committed.
+    """
+
+    def store_batch(batch: DataFrame, number: int) -> None:
+        paths = [r["path"] for r in batch.collect()]  # as many as the source's filesPerBatch
+        if not paths:
+            return
+        commands = read_numbered_batches(batch.sparkSession, paths)
+        store.append(_by_line(commands) if ordered else commands, number)
+        if compact_every and (number + 1) % compact_every == 0:
+            store.compact(number)
+            store.prune(keep_bases=2)
+        if after_batch is not None:
+            after_batch(store, number)
+
+    return (
+        files.writeStream.queryName("replay")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or TICK))
+        .foreachBatch(store_batch)
+        .start()
+    )
+
+
+def _by_line(commands: DataFrame) -> DataFrame:
+    """Commands whose order key, in either mode, is their batch and line."""
+    key = (F.col("batch_id") * F.lit(_LINES_PER_BATCH) + F.col("seq")).cast("decimal(38,0)")
+    return commands.withColumn("seq", key).withColumn("batch_id", key)
+
+
+def until_caught_up(query: StreamingQuery) -> None:
+    """Let a query take what its source has now, then stop it."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def count_series_of(totals: list[tuple[int, int, int]], spark: SparkSession) -> DataFrame:
+    """``batch_id, n_edges, n_vertices`` of counts noted after each batch."""
+    return spark.createDataFrame(totals, "batch_id long, n_edges long, n_vertices long")
 
 
 def save_each_batch(root: str, every: int = 1) -> Callable[[GraphStore, int], None]:
