@@ -2,6 +2,7 @@
 
 import io
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -189,7 +190,7 @@ def test_boilerplate_of_hosts(spark, monkeypatch):
     assert html.main_text(df.limit(0)).count() == 0
 
 
-def test_pages_of_a_repeated_block_are_dealt_to_all_tasks(spark):
+def test_pages_of_a_repeated_run_are_dealt_to_all_tasks(spark):
     # one host, one footer
     rows = [("h", b"footer", b"%d" % (i % 400), i, 0) for i in range(800)]
     rows += [("h", b"own %d" % i, b"%d" % i, i, 1) for i in range(400)]
@@ -199,20 +200,99 @@ def test_pages_of_a_repeated_block_are_dealt_to_all_tasks(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(host" in line]
     assert any("page" in line.split("),")[0] for line in dealt)
-    assert "partial_count" in plan and "rangepartitioning" not in plan and "Window" not in plan
-
-
-def test_repeated_suffixes_are_those_of_counting(spark):
+    assert "partial_count" in plan and "Window" not in plan
+
+
+def longest_repeats(pages, least_pages, least):
+    """Tokens covered by strings of ``least`` tokens or more on several pages: for each
+    place the longest string from there that other pages have, by trying."""
+    streams = [[t for b in blocks for t in b.split()] for blocks in pages]
+    texts = {i: " " + " ".join(s) + " " for i, s in enumerate(streams)}
+    different = {i: t for i, t in texts.items() if t not in list(texts.values())[:i]}
+    covered = []
+    for s in streams:
+        mine = [False] * len(s)
+        for a in range(len(s)):
+            n = least
+            while a + n <= len(s) and sum(
+                    " " + " ".join(s[a : a + n]) + " " in t for t in different.values()) >= least_pages:
+                n += 1
+            for k in range(a, a + n - 1 if n > least else a):
+                mine[k] = True
+        covered.append(mine)
+    return covered
+
+
+def test_covered_tokens_are_those_of_longest_repeated_strings(spark):
     rng = random.Random(6)
-    blocks = [f"block number {i} of some words" for i in range(12)]
-    rows = [(i, f"http://h{rng.randint(0, 2)}/{i}", "".join(f"<p>{b}</p>" for b in rng.sample(blocks, 5)))
-            for i in range(60)]
+    shared = [cases.sentence(rng, rng.randint(3, 25)) for _ in range(8)]
+    pages = []
+    for i in range(40):
+        blocks = []
+        for _ in range(rng.randint(0, 6)):  # shared strings, whole, cut, and inside blocks
+            words = rng.choice(shared).split()
+            a = rng.randint(0, len(words) // 3)
+            part = " ".join(words[a : a + rng.randint(1, 25)])
+            blocks.append(rng.choice(["", cases.sentence(rng, 4) + " "]) + part + rng.choice(["", " " + cases.sentence(rng, 2)]))
+        pages.append((f"h{i % 3}", [b for b in blocks if b]))
+    pages += [pages[0]] * 4  # copies of a page are one page
+    rows = [(i, f"http://{h}/{i}", "".join(f"<p>{b}</p>" for b in bs)) for i, (h, bs) in enumerate(pages)]
+    expected = {}
+    for h in ("h0", "h1", "h2"):
+        here = [i for i, (host, _) in enumerate(pages) if host == h]
+        for i, mine in zip(here, longest_repeats([pages[i][1] for i in here], html.LEAST_PAGES, html.RUN)):
+            out, at = [], 0
+            for block in pages[i][1]:
+                words = block.split()
+                flags = mine[at : at + len(words)]
+                at += len(words)
+                runs, run = [], []
+                for w, f in [*zip(words, flags), ("", True)]:
+                    if f:
+                        runs.append(run)
+                        run = []
+                    else:
+                        run.append(w)
+                if any(flags):
+                    runs = [r for r in runs if len(r) >= html.LEAST_TOKENS]
+                text = " ".join(w for r in runs for w in r)
+                if text:
+                    out.append(text)
+            expected[i] = "\n\n".join(out)
     df = spark.createDataFrame(rows, PAGES).repartition(5)
-    scratch = Scratch(spark)
-    parsed = scratch.save(df.mapInArrow(html._parse, html.PARSED))
-    got = {r["row"]: set(r["covered"]) for r in html.boilerplate(parsed, scratch).collect()}
-    # with three hosts of twenty pages every block is on three pages
-    assert got == {r["row"]: set(range(5)) for r in parsed.collect()}
+    got = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
+    assert got == expected
+    assert any(len(t) < len("\n\n".join(pages[i][1])) for i, t in got.items())
+
+
+@pytest.mark.parametrize("page,blocks", [
+    ('<div class="content no-sidebar"><p>One whole page of text.</p><p>And more.</p></div>',
+     ["One whole page of text.", "And more."]),
+    ('<article class="post comments-open"><p>Text.</p></article>', ["Text."]),
+    ('<article><header class="entry-header"><h1>The title</h1></header><p>Text.</p></article>',
+     ["The title", "Text."]),
+    ('<article><p>Text.</p><div class="related-work"><h2>Related work</h2><p>A section.</p></div></article>',
+     ["Text.", "Related work", "A section."]),
+    ("<article><p>With <math><mi>x</mi><mo>=</mo><mn>2</mn></math> inside.</p></article>", ["With x=2 inside."]),
+    ('<div class="modal-page sidebar"><article><p>Inside.</p></article></div>', ["Inside."]),
+    ('<p>Text.</p><div class="comments"><p>' + "A long comment. " * 60 + "</p></div>", ["Text."]),
+    ('<p>Text.</p><div class="cookie-banner">We use cookies</div>', ["Text."]),
+    ('<p>Text.</p><div class="related-posts"><a href="x">One post</a> <a href="y">Other</a></div>', ["Text."]),
+    ('<div role="main"><p>Text.</p></div><div>Other</div>', ["Text."]),
+    ("<p>a<b>b<p>c</b>d</p>", ["ab", "cd"]),
+])
+def test_structure_leaves_the_article_whole(page, blocks):
+    assert html.blocks_of(page)[0] == blocks
+
+
+@pytest.mark.parametrize("page", [
+    "<b>" * 200_000 + "</i>" * 200_000, "<b>" * 100_000 + "<p>x" * 100_000, "<div>" * 200_000 + "</div>" * 200_000,
+    "<i><b>" * 100_000 + "</i></b>" * 100_000, '<div class="promo-x">' * 50_000 + "y",
+])
+def test_deep_markup_takes_time_by_its_length(page):
+    start = time.perf_counter()
+    html.blocks_of(page)
+    assert time.perf_counter() - start < 8  # about one on a free core; the square would take minutes
 
 
 # --- URLs --------------------------------------------------------------------
