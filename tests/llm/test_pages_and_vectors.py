@@ -1,6 +1,7 @@
 """Operators on pages and vectors against plain definitions."""
 
 import io
+import itertools
 import random
 import time
 import zlib
@@ -246,6 +247,10 @@ def test_covered_tokens_are_those_of_longest_repeated_strings(spark):
                 words = block.split()
                 flags = mine[at : at + len(words)]
                 at += len(words)
+                if not all(flags):  # what is short is repeated only with its neighbours
+                    for k, stretch in [(k, list(g)) for k, g in itertools.groupby(range(len(flags)), flags.__getitem__)]:
+                        if k and len(stretch) < html.RUN:
+                            flags[stretch[0] : stretch[-1] + 1] = [False] * len(stretch)
                 runs, run = [], []
                 for w, f in [*zip(words, flags), ("", True)]:
                     if f:
