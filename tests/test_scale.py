@@ -88,3 +88,9 @@ def test_series_reads_shared_shuffles(spark, no_broadcast, hub):
     """One pass over edges, vertices and batches each, however often used."""
     plan = final_plan(series.count_series(hub))
     assert plan.count("FileScan parquet") == 3
+
+
+def test_a_hub_is_split_when_copies_are_counted(spark, no_broadcast, hub):
+    copies = series.vertex_copies(hub, "ordered")
+    assert "skew=true" in final_plan(copies)
+    assert "skew=true" in final_plan(series.edge_copies(hub, "ordered"))

@@ -164,6 +164,31 @@ def test_a_watermark_lets_the_store_forget(spark, tmp_path):
     assert store.totals() == before
 
 
+def test_going_on_from_saved_graphs(spark, tmp_path):
+    rows = random_rows(38, 60)
+    parts = [[r for r in rows if r[1] == b] for b in range(6)]
+    store = GraphStore(spark, str(tmp_path / "marks"), "ordered", buckets=2)
+    assert store.graph_saved(5) is None
+    assert store.append_steps([frame(spark, parts[0]), 70], 0) == [None]
+    store.save(100)
+    store.append_steps([frame(spark, parts[1])], 1)
+    store.save(200)
+    tables = len(os.listdir(tmp_path / "marks" / "tables"))
+    for _ in range(2):  # again, as after a failure
+        chosen = store.append_steps([frame(spark, parts[2]), 120, frame(spark, parts[3]), 150], 2)
+        assert chosen == [100, 100]  # of two as near, the earlier
+        same(store, in_order(parts[0]))
+    assert len(os.listdir(tmp_path / "marks" / "tables")) == tables + 12  # two steps, twice: nothing is copied
+    store.append_steps([frame(spark, parts[4])], 3)
+    same(store, in_order(parts[0] + parts[4]))
+    store.compact(max(store.deltas()))
+    store.prune(keep_bases=1)
+    same(store, in_order(parts[0] + parts[4]))
+    assert as_sets(store.graph_saved(999)) == in_order(parts[0] + parts[1])
+    store.append_steps([201, frame(spark, parts[5])], 4)
+    same(store, in_order(parts[0] + parts[1] + parts[5]))
+
+
 def write_numbered(folder, rows, batches):
     folder.mkdir(parents=True, exist_ok=True)
     for b in batches:

@@ -190,7 +190,11 @@ def edge_copies(commands: DataFrame, mode: str = BATCH) -> DataFrame:
 
 
 def vertex_copies(commands: DataFrame, mode: str = BATCH) -> DataFrame:
-    """``(id, copies)``: additions since the vertex last vanished."""
+    """``(id, copies)``: additions since the vertex last vanished.
+
+    The additions of a hub are summed in parts first. Their key is hidden, so that
+    the join before need not keep the rows of a vertex together and can be split.
+    """
     key = order_key(mode)
     adds = (
         vertex_events(commands, key)
@@ -198,9 +202,9 @@ def vertex_copies(commands: DataFrame, mode: str = BATCH) -> DataFrame:
         .groupBy("id", key)
         .agg(F.count("*").alias("n"))
     )
-    return (
+    alive = (
         adds.join(node_removals(commands, mode).withColumn("id", own_shuffle("id")), "id", "left")
         .filter(outlives(F.col(key), F.col("removed_at"), mode))
-        .groupBy("id")
-        .agg(F.sum("n").alias("copies"))
     )
+    parts = alive.groupBy(own_shuffle("id").alias("id"), F.pmod(F.xxhash64(key), F.lit(64)).alias("part"))
+    return parts.agg(F.sum("n").alias("n")).groupBy("id").agg(F.sum("n").alias("copies"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegraph.functions.times import epoch_millis
 from tidegraph.operators import marks
 from tidegraph.plans import command_queries, graph_queries  # noqa: F401 - their SQL is used here
 from tidegraph.plans.catalog import ORACLES, query
@@ -163,3 +164,48 @@ def streamed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         replay.numbered_files(spark, path, filesPerBatch=4), FrameStore(spark, f"{folder}/frames"), publish,
         f"{folder}/progress", {"processingTime": "0 seconds"}))
     return spark.read.parquet(f"{folder}/out").select("frame", "frame_id", "frame_batch", F.col("value").alias("line"))
+
+
+# Ten files; every file but the first saves its graph when it has been applied, under
+# the time of its last command. Requests stand at the head of the sixth and the ninth.
+_BRANCHES = """filed as (
+  select *, seq * 10 // (select max(seq) + 1 from commands) as file from commands),
+saves as (select file, epoch_us(max(ts)) // 1000 as at from filed where file > 0 group by file),
+asked as (
+  select 5 as file, epoch_us(date_trunc('second', min(ts))) // 1000 as at from filed where file = 2
+  union all
+  select 8, epoch_us(date_trunc('second', min(ts))) // 1000 from filed where file = 7),
+chosen as (
+  select a.file, (select s.file from saves s where s.file < a.file order by abs(s.at - a.at), s.at limit 1) as back
+  from asked a),
+-- what the second request goes back to has itself gone back to the first one's choice
+kept as (
+  select f.* from filed f, (select back from chosen where file = 5) x, (select back from chosen where file = 8) y
+  where f.file >= 8
+    or (y.back >= 5 and (f.file <= x.back or f.file between 5 and y.back))
+    or (y.back < 5 and f.file <= y.back))"""
+
+
+@query(ctes(COMMANDS, _BRANCHES, graph("ordered", "kept")) + "select src, dst, attr from edges")
+def streamed_load_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two requests for a saved graph among the commands."""
+    folder = scratch_folder(spark, "branches")
+    commands = event_commands(spark, sf_dir)
+    most = commands.agg(F.max("seq")).first()[0] + 1
+    texts = lines_in.format_commands(commands).withColumn("n", F.expr(f"seq * 10 div {most}"))
+    times = texts.groupBy("n").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    asked = times.filter("n in (2, 7)").select(
+        F.expr("case n when 2 then 5L else 8L end").alias("n"), F.lit(-1).cast("long").alias("seq"),
+        F.concat(F.lit("loadOld "), F.date_format("first", "yyyy-MM-dd HH:mm:ss")).alias("value"))
+    path = write_numbered(texts.select("n", "seq", "value").unionByName(asked), folder, "n", "seq")
+    saved_at = {r["n"]: r["at"] for r in times.select("n", epoch_millis(times, "last").alias("at")).collect()}
+    store = GraphStore(spark, f"{folder}/marks", "ordered", buckets=BUCKETS)
+
+    def save(store: GraphStore, number: int) -> None:
+        if number > 0:
+            store.save(saved_at[number])
+
+    jobs.until_caught_up(jobs.run_branching(
+        replay.numbered_files(spark, path), store, f"{folder}/progress", {"processingTime": "0 seconds"}, save,
+        compact_every=3))
+    return store.graph().edges

@@ -309,6 +309,14 @@ def vertex_copies_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.vertex_copies(event_commands(spark, sf_dir), "batch")
 
 
+@query(
+    ctes(COMMANDS, kept_vertices("ordered"))
+    + "select id, cast(count(*) as bigint) as copies from kept_vertices group by id"
+)
+def vertex_copies_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.vertex_copies(event_commands(spark, sf_dir), "ordered")
+
+
 _HISTORY = """edge_ends as (
   select a.src, a.attr, a.dst, a.batch_id as started, min(r.batch_id) as ended
   from (select * from commands where op = 'addEdge') a

@@ -104,6 +104,14 @@ def edges_as_of_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.graph_as_of_batch(event_commands(spark, sf_dir), 4).edges
 
 
+@query(
+    ctes(COMMANDS, "early as (select * from commands where seq <= 777)", graph("ordered", "early"))
+    + "select src, dst, attr from edges"
+)
+def edges_as_of_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.graph_as_of_seq(event_commands(spark, sf_dir), 777).edges
+
+
 # --- saved graphs ------------------------------------------------------------
 
 
@@ -115,13 +123,32 @@ def snapshot_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.read_snapshot_text(spark, root, "saved").edges
 
 
-@query(ctes(COMMANDS, before(), graph("ordered", "before")) + "select id, attr from vertices")
-def load_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(ctes(COMMANDS, graph("batch")) + "select id, attr from vertices")
+def snapshot_vertices_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_folder(spark, "text-snapshot")
+    built = marks.build_graph(event_commands(spark, sf_dir), "batch")
+    snapshots.write_snapshot_text(built, root, "saved")
+    return snapshots.read_snapshot_text(spark, root, "saved").vertices
+
+
+def _saved_graphs(spark: SparkSession, sf_dir: str):
     c = event_commands(spark, sf_dir)
     root = scratch_folder(spark, "snapshots")
     at = spark.range(1).select(parse_request_time(F.lit(AS_OF)).alias("at")).first()["at"]
     snapshots.write_snapshot(temporal.graph_as_of_time(c, F.expr(_AT)), root, at)
     snapshots.write_snapshot(marks.build_graph(c, "ordered"), root, at + 86_400_000)
+    return root, at
+
+
+@query(ctes(COMMANDS, before(), graph("ordered", "before")) + "select src, dst, attr from edges")
+def load_old_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, at = _saved_graphs(spark, sf_dir)
+    return snapshots.load_old(spark, root, at + 3_600_000).edges
+
+
+@query(ctes(COMMANDS, before(), graph("ordered", "before")) + "select id, attr from vertices")
+def load_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, at = _saved_graphs(spark, sf_dir)
     return snapshots.load_old(spark, root, at + 3_600_000).vertices
 
 

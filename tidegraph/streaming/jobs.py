@@ -20,7 +20,14 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from tidegraph.functions.times import epoch_micros
 from tidegraph.model import ADD_EDGE, EDGE_KEY, RMV_EDGE
 from tidegraph.operators.tweets import count_messages, word_counts
-from tidegraph.sources.commands import read_numbered_batches, with_line_no
+from tidegraph.sources.commands import (
+    file_number,
+    parse_commands,
+    parse_load_requests,
+    read_lines,
+    read_numbered_batches,
+    with_line_no,
+)
 from tidegraph.sources.snapshots import write_snapshot
 from tidegraph.streaming.store import GraphStore
 
@@ -166,6 +173,54 @@ def run_replay(
     )
 
 
+def run_branching(
+    files: DataFrame,
+    store: GraphStore,
+    checkpoint: str,
+    trigger: dict | None = None,
+    after_batch: Callable[[GraphStore, int], None] | None = None,
+    compact_every: int | None = None,
+) -> StreamingQuery:
+    """Replay :func:`sources.replay.numbered_files` line by line; a line ``loadOld
+    yyyy-MM-dd HH:mm:ss`` makes the saved graph nearest to that time the current one.
+
+    What follows it goes on from that graph. A request before anything is saved, or
+    with a malformed time, changes nothing. The store must keep the ordered mode.
+    Each request splits its micro-batch, so the driver sees the requests, not commands.
+    """
+
+    def store_batch(batch: DataFrame, number: int) -> None:
+        paths = [r["path"] for r in batch.collect()]  # as many as the source's filesPerBatch
+        if not paths:
+            return
+        lines = read_lines(batch.sparkSession, paths).withColumn(
+            "batch_id", file_number(F.col("file_name"))).withColumnRenamed("line_no", "seq")
+        lines = _by_line(lines)
+        requests = parse_load_requests(lines).filter("at_millis is not null").orderBy("seq").collect()
+        commands = parse_commands(lines)
+        steps: list = []
+        since = None
+        for request in requests:
+            part = commands.filter(F.col("seq") < request["seq"])
+            steps += [part if since is None else part.filter(F.col("seq") > since), request["at_millis"]]
+            since = request["seq"]
+        steps.append(commands if since is None else commands.filter(F.col("seq") > since))
+        store.append_steps(steps, number)
+        if compact_every and (number + 1) % compact_every == 0 and (deltas := store.deltas()):
+            store.compact(deltas[-1])
+            store.prune(keep_bases=2)
+        if after_batch is not None:
+            after_batch(store, number)
+
+    return (
+        files.writeStream.queryName("branches")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or TICK))
+        .foreachBatch(store_batch)
+        .start()
+    )
+
+
 def _by_line(commands: DataFrame) -> DataFrame:
     """Commands whose order key, in either mode, is their batch and line."""
     key = (F.col("batch_id") * F.lit(_LINES_PER_BATCH) + F.col("seq")).cast("decimal(38,0)")

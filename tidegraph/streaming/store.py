@@ -23,7 +23,9 @@ micro-batch brings to life or ends: they are kept and never counted anew.
 
 A manifest names the tables that count. It is written whole under the next
 number and read by one listing; what it does not name, such as the tables of a
-micro-batch that failed, is not seen::
+micro-batch that failed, is not seen. A graph is saved by noting the tables it is made
+of, and made the current one again by going on from these: neither copies a row.
+::
 
     root/versions/N       the manifests
     root/tables/...       the tables
@@ -73,6 +75,10 @@ class Manifest:
     buckets: int = 0
     deltas: dict[int, Level] = field(default_factory=dict)
     bases: dict[int, Level] = field(default_factory=dict)
+    start: list[Level] = field(default_factory=list)  # the saved graph that was gone on from
+    saved: dict[int, list[Level]] = field(default_factory=dict)  # by epoch millis
+    number: int = -1  # the last micro-batch of whole steps,
+    before: str | None = None  # and the manifest before it
     pruned: int = -1  # the last micro-batch whose delta may have been deleted
     settled: int | None = None  # no command below this key is taken any more
 
@@ -86,10 +92,13 @@ class Manifest:
             level for n, level in sorted(self.deltas.items())
             if (base is None or n > base) and (upto is None or n <= upto)
         ]
-        return ([] if base is None else [self.bases[base]]) + chosen
+        return (self.start if base is None else [self.bases[base]]) + chosen
 
     def folders(self) -> set[str]:
-        every = [*self.deltas.values(), *self.bases.values()]
+        every = [*self.deltas.values(), *self.bases.values(), *self.start]
+        every += [level for levels in self.saved.values() for level in levels]
+        if self.before is not None:
+            return {f for level in every for f in level.tables.values()} | Manifest.from_json(self.before).folders()
         return {folder for level in every for folder in level.tables.values()}
 
     def to_json(self) -> str:
@@ -100,6 +109,8 @@ class Manifest:
         read = json.loads(text)
         for name in ("deltas", "bases"):
             read[name] = {int(n): Level(**level) for n, level in read[name].items()}
+        read["start"] = [Level(**level) for level in read["start"]]
+        read["saved"] = {int(n): [Level(**level) for level in some] for n, some in read["saved"].items()}
         return cls(**read)
 
 
@@ -129,6 +140,7 @@ class GraphStore:
         self.mode = mode
         self.ts_type = ts_type
         self._buckets = buckets
+        self._tables: dict[str, DataFrame] = {}  # by folder: what is written never changes
         edge = EDGE_MARKS.format(ts=ts_type)
         self._schemas = {"edge": edge, "mirror": edge, "vertex": VERTEX_MARKS}
 
@@ -186,9 +198,15 @@ class GraphStore:
             .format("parquet").option("path", folder).saveAsTable(self._table_name(folder))
         )
         level.tables[kind], level.schemas[kind] = folder, marks.schema.toDDL()
-        return self.spark.table(self._table_name(folder))
+        return self._read(kind, level, buckets)
 
     def _read(self, kind: str, level: Level, buckets: int) -> DataFrame:
+        folder = level.tables[kind]
+        if folder not in self._tables:
+            self._tables[folder] = self._open(kind, level, buckets)
+        return self._tables[folder]
+
+    def _open(self, kind: str, level: Level, buckets: int) -> DataFrame:
         name = self._table_name(level.tables[kind])
         if not self.spark.catalog.tableExists(name):  # another session wrote it
             self.spark.sql(
@@ -220,6 +238,11 @@ class GraphStore:
         late and are left out.
         """
         manifest = self.manifest()
+        self._stage(manifest, commands, delta)
+        self._commit(manifest)
+
+    def _stage(self, manifest: Manifest, commands: DataFrame, delta: int) -> None:
+        """Store the marks of some commands and name them in a manifest."""
         manifest.deltas.pop(delta, None)
         if manifest.settled is not None:
             commands = commands.filter(F.col(order_key(self.mode)) >= manifest.settled)
@@ -234,10 +257,57 @@ class GraphStore:
         marks = merge_marks(edges, taken).withColumn("part", _part("edge"))
         edges = self._save("edge", marks, manifest.buckets, level)
         self._save("mirror", edges.withColumn("part", _part("mirror")), manifest.buckets, level)
-        level.n_edges = self._change(edges, self._merged(manifest, "edge", state), ["part", *EDGE_KEY])
-        level.n_vertices = self._change(vertices, known, ["id"])
+        changed = self._change(edges, self._merged(manifest, "edge", state), ["part", *EDGE_KEY]).unionByName(
+            self._change(vertices, known, ["id"]))
+        by_kind = {r["id"]: r["n"] for r in changed.collect()}  # a row each
+        level.n_edges, level.n_vertices = by_kind["part"] or 0, by_kind["id"] or 0
         manifest.deltas[delta] = level
+
+    def append_steps(self, steps: list[DataFrame | int], number: int) -> list[int | None]:
+        """Store a micro-batch of several steps, whole or not at all: commands, and
+        moments (epoch millis) at which to go on from the saved graph nearest to them.
+
+        The moments of the graphs chosen, None where nothing has been saved. Storing
+        the micro-batch again first takes back what it did. Deltas are numbered through.
+        """
+        manifest = self.manifest()
+        if manifest.number == number and manifest.before is not None:
+            version, manifest = manifest.version, Manifest.from_json(manifest.before)
+            manifest.version = version
+        manifest.before = None
+        before, chosen = manifest.to_json(), []
+        for step in steps:
+            if isinstance(step, DataFrame):
+                following = max([*manifest.deltas, *manifest.bases, manifest.pruned], default=-1) + 1
+                self._stage(manifest, step, following)
+            else:
+                chosen.append(self._go_on_from(manifest, step))
+        manifest.number, manifest.before = number, before
         self._commit(manifest)
+        return chosen
+
+    def save(self, at_millis: int) -> None:
+        """Note the graph as it is now under a moment; a moment noted again replaces
+        only itself."""
+        manifest = self.manifest()
+        manifest.saved[at_millis] = manifest.levels()
+        self._commit(manifest)
+
+    def _go_on_from(self, manifest: Manifest, at_millis: int) -> int | None:
+        """Make the saved graph nearest to a moment, the earlier of two, the current one."""
+        nearest = min(manifest.saved, key=lambda at: (abs(at - at_millis), at), default=None)
+        if nearest is not None:
+            manifest.pruned = max([*manifest.deltas, *manifest.bases, manifest.pruned])
+            manifest.start, manifest.bases, manifest.deltas = manifest.saved[nearest], {}, {}
+        return nearest
+
+    def graph_saved(self, at_millis: int) -> Graph | None:
+        """The saved graph nearest to a moment; None if nothing is saved."""
+        manifest = self.manifest()
+        if self._go_on_from(manifest, at_millis) is None:
+            return None
+        return self._graph(self._merged(manifest, "edge", manifest.start),
+                           self._merged(manifest, "vertex", manifest.start))
 
     def _carrying(self, edges: DataFrame, known: DataFrame, vertices: DataFrame) -> DataFrame:
         """A micro-batch's edge marks with all removals known of their endpoints."""
@@ -270,13 +340,14 @@ class GraphStore:
     def _alive(self, added: Column, removed: Column) -> Column:
         return F.coalesce(outlives(added, removed, self.mode), F.lit(False))
 
-    def _change(self, new: DataFrame, known: DataFrame, key: list[str]) -> int:
-        """By how much the keys of a micro-batch change the number alive."""
+    def _change(self, new: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
+        """By how much the keys of a micro-batch change the number alive, in one row."""
         old = known.select(*key, F.col("last_add").alias("old_add"), F.col("last_rmv").alias("old_rmv"))
         both = new.join(old, key, "left")
         before = self._alive(F.col("old_add"), F.col("old_rmv"))
         after = self._alive(F.greatest("last_add", "old_add"), F.greatest("last_rmv", "old_rmv"))
-        return both.agg(F.sum(after.cast("long") - before.cast("long"))).first()[0] or 0
+        return both.agg(F.sum(after.cast("long") - before.cast("long")).alias("n")).select(
+            F.lit(key[0]).alias("id"), "n")
 
     def totals(self, upto: int | None = None) -> tuple[int, int]:
         """How many edges and vertices there are, from what is kept."""
@@ -356,6 +427,7 @@ class GraphStore:
         kept = {folder.rsplit("/", 1)[-1] for folder in manifest.folders()}
         for name in self._names("tables"):
             if name not in kept:
+                self._tables.pop(f"{self.root}/tables/{name}", None)
                 self.spark.sql(f"drop table if exists {self._table_name(name)}")
                 fs, path = self._fs(f"{self.root}/tables/{name}")
                 fs.delete(path, True)
@@ -390,7 +462,10 @@ class GraphStore:
         edges = self.marks("edge", upto)
         if as_of is not None:
             edges = edges.filter(~expired(F.col("last_add_ts"), ttl_seconds, as_of))
+        return self._graph(edges, self.marks("vertex", upto))
+
+    def _graph(self, edges: DataFrame, vertices: DataFrame) -> Graph:
         edges = edges.filter(self._alive(F.col("last_add"), F.col("last_rmv")))
-        vertices = alive_vertices(self.marks("vertex", upto), self.mode).select(
+        vertices = alive_vertices(vertices, self.mode).select(
             "id", F.lit(DEFAULT_VERTEX_ATTR).cast("long").alias("attr"))
         return Graph(vertices, edges.select("src", "dst", "attr"))
