@@ -40,7 +40,7 @@ from tidegraph.llm.workers import ship_package
 
 CAPACITY = 1024
 END_ID = 2
-CACHED_WORDS = 600_000  # per worker; a bound on memory, not on the words handled
+CACHED_WORDS = 200_000  # per worker; a bound on memory, not on the words handled
 
 
 def default_tokenizer() -> str:
