@@ -9,8 +9,10 @@ from tidegraph.model import ADD_EDGE, ADD_NODE, RMV_EDGE, RMV_NODE, Graph, empty
 from tidegraph.operators import compare, marks, series
 from tidegraph.operators import graph as ops
 from tidegraph.operators.temporal import graph_as_of_time
-from tidegraph.plans.catalog import query
+from tidegraph.plans.catalog import ORACLES, query
 from tidegraph.plans.sql import AS_OF, COMMANDS, before, ctes, graph, kept_edges, kept_vertices
+from tidegraph.plans.time_queries import scratch_folder
+from tidegraph.sources import digests
 from tidegraph.sources.tables import event_commands
 
 _AT = f"TIMESTAMP_NTZ '{AS_OF}'"
@@ -529,3 +531,29 @@ union all select 'removed', * from (select * from old_edges except select * from
 )
 def edge_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.edge_diff(*_old_and_new(spark, sf_dir))
+
+
+# --- saved graphs with digests -----------------------------------------------
+
+
+def _digested(spark: SparkSession, sf_dir: str) -> str:
+    root = scratch_folder(spark, "digested")
+    for at, graph_then in enumerate(_old_and_new(spark, sf_dir)):
+        digests.write_digested(graph_then, root, at)
+    return root
+
+
+@query(
+    _TWO
+    + """select not exists (select * from new_edges except select * from old_edges)
+  and not exists (select * from old_edges except select * from new_edges)
+  and not exists (select * from new_vertices except select * from old_vertices)
+  and not exists (select * from old_vertices except select * from new_vertices) as equal"""
+)
+def stored_graphs_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.stored_graphs_equal(spark, _digested(spark, sf_dir), 0, 1).select("equal")
+
+
+@query(ORACLES["edge_diff"])
+def stored_edge_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.stored_diff(spark, _digested(spark, sf_dir), 0, 1)
