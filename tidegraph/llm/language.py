@@ -354,8 +354,8 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None, out: tuple[
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("text"))
         langs, scores = [], []
-        for at in range(0, batch.num_rows, 4096):
-            some = texts.slice(at, 4096).to_pylist()
+        for at in range(0, batch.num_rows, 1024):
+            some = texts.slice(at, 1024).to_pylist()
             lower = [(t or "").lower() for t in some]
             if model is None:
                 langs += [UNKNOWN] * len(some)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -59,7 +59,7 @@ def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
     """The word hashes of each text in turn, A-Z lower-cased, words split at
     ASCII white space."""
-    return hashes_of([(text or "").encode("utf-8", "replace").lower() for text in texts])
+    return hashes_of((text or "").encode("utf-8", "replace").lower() for text in texts)
 
 
 # terms are runs of digits, letters a to z (A to Z lower-cased) and all beyond ASCII
@@ -72,10 +72,10 @@ _TERMS = bytes(
 
 def term_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
     """The hashes of each text's terms in turn."""
-    return hashes_of([(text or "").encode("utf-8", "replace").translate(_TERMS) for text in texts])
+    return hashes_of((text or "").encode("utf-8", "replace").translate(_TERMS) for text in texts)
 
 
-def hashes_of(texts: list[bytes]) -> Iterator[np.ndarray]:
+def hashes_of(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
     """The word hashes of each text in turn. Short texts share a vector step."""
     group: list[bytes] = []
     size = 0
