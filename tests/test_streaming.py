@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from replay import ROW, as_sets, in_batches, in_order, random_rows
 
 from tidegraph.operators import expiry, generate
+from tidegraph.plans import stream_queries
 from tidegraph.sources import commands as lines_in
 from tidegraph.sources import snapshots
 from tidegraph.streaming import jobs
@@ -251,3 +252,17 @@ def test_generated_stream(spark, tmp_path):
     n = found.count()
     assert n > 0
     assert found.exceptAll(generate.generate(spark, n, generate.CHURN, seed=5)).isEmpty()
+
+
+@pytest.mark.parametrize("in_files", [1, 3])
+def test_a_table_is_one_file_or_a_folder_of_files(spark, tmp_path, in_files):
+    rows = [(i, text) for i, text in enumerate(["to be or", "not to be", None, "be"])]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    table.repartition(in_files).write.parquet(str(tmp_path / "documents.parquet"))
+    if in_files == 1:
+        (part,) = (tmp_path / "documents.parquet").glob("part-*.parquet")
+        (tmp_path / "one").mkdir()
+        part.rename(tmp_path / "one" / "documents.parquet")
+    sf_dir = str(tmp_path / "one" if in_files == 1 else tmp_path)
+    said = stream_queries.streamed_word_counts(spark, sf_dir).collect()
+    assert sorted(r["message"] for r in said) == ["be|3", "not|1", "or|1", "to|2"]

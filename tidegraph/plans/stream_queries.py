@@ -23,12 +23,10 @@ BUCKETS = 8  # of a store of one run over one table
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files, be it one file or a folder of them."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(sf_dir)
-    )
+    # as a pattern, since a stream's plain path must be a folder
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.[p]arquet")
 
 
 def _command_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
