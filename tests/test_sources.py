@@ -120,6 +120,26 @@ def test_writing_a_batch_again_keeps_one_copy(spark, tmp_path):
     ]
 
 
+def test_files_of_stored_batches_grow_with_batches(spark, tmp_path):
+    path = tmp_path / "out"
+    df = spark.range(4000).selectExpr(
+        "id as seq", "id div 100 as batch_id", "'addEdge' as op", "id as src", "'a' as attr", "id as dst")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        lines_in.write_batches(df, str(path))
+        # several tasks write, a batch's rows go to one of them
+        assert len(list(path.glob("batch_id=*"))) == len(list(path.glob("batch_id=*/part-*"))) == 40
+        # a batch that is most of the data is split
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16KB")
+        lines_in.write_batches(df.withColumn("batch_id", F.expr("if(seq < 3900, 0, batch_id)")), str(path))
+        assert len(list(path.glob("batch_id=0/part-*"))) > 1
+        assert lines_in.read_batches(spark, str(path)).filter("batch_id = 0").count() == 3900
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
 def test_command_text_lists_kinds_in_order(spark, tmp_path):
     path = str(tmp_path / "out")
     rows = lines_in.parse_commands(

@@ -366,14 +366,15 @@ def write_batches(commands: DataFrame, path: str) -> None:
     """Deduplicated commands as parquet, one folder per ``batch_id``.
 
     Only the folders of the batches at hand are replaced, so writing a batch
-    again leaves one copy of it. Rows are spread by their own key: a batch
-    that holds most of the data still has many writers.
+    again leaves one copy of it. A batch goes to one writer, and so to one file,
+    unless it is large: rebalancing splits a batch that holds most of the data.
     """
     from tidegraph.operators.reduction import COMMAND_KEY, dedup_commands
 
     (
         dedup_commands(commands)
         .select("batch_id", *COMMAND_KEY)
+        .hint("rebalance", "batch_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch_id")
