@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from replay import ROW, as_sets, in_batches, in_order, random_rows
 
+from tidegraph.plans import file_queries, stream_queries
 from tidegraph.sources import commands as lines_in
 from tidegraph.sources import replay
 from tidegraph.streaming import jobs
@@ -241,6 +242,15 @@ def test_a_missing_number_is_waited_for_and_files_go_after_commit(spark, tmp_pat
     assert {"0.txt", "1.txt", "2.txt"} <= {p.name for p in (tmp_path / "used").iterdir()}
 
 
+@pytest.mark.parametrize("files", [0, 10, 36, 1000])
+def test_a_replay_of_many_files_has_few_micro_batches(spark, tmp_path, files):
+    for n in range(files):
+        (tmp_path / f"{n}.txt").touch()
+    taken = file_queries._files_a_batch(spark, str(tmp_path), 3)
+    assert taken >= 3 and -(-files // taken) <= stream_queries.MICRO_BATCHES
+    assert taken == 3 or files > 3 * stream_queries.MICRO_BATCHES
+
+
 def plain_frames(lines):
     """Frame number, header and commands of the closed frames of all lines in turn."""
     out, header, held, n = [], (0, 0), [], 0

@@ -5,6 +5,8 @@ Each writes the commands of the ``events`` table as text first.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from tidegraph.operators import marks
 from tidegraph.plans import command_queries, graph_queries  # noqa: F401 - their SQL is used here
 from tidegraph.plans.catalog import ORACLES, query
 from tidegraph.plans.sql import AS_OF, COMMANDS, TTL_SECONDS, ctes, graph, kept_edges
-from tidegraph.plans.stream_queries import BUCKETS, _CAUGHT_UP, _events_in_files
+from tidegraph.plans.stream_queries import BUCKETS, MICRO_BATCHES, _CAUGHT_UP, _events_in_files
 from tidegraph.plans.time_queries import scratch_folder
 from tidegraph.sources import commands as lines_in
 from tidegraph.sources import replay
@@ -36,12 +38,25 @@ def write_numbered(lines: DataFrame, folder: str, number: str, order: str) -> st
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path(f"{folder}/in"))
-    for part in fs.globStatus(path(f"{folder}/parts/number=*/part-*")):
+    parts = fs.globStatus(path(f"{folder}/parts/number=*/part-*"))
+
+    def rename(part) -> None:
         n = part.getPath().getParent().getName().removeprefix("number=")
         fs.rename(part.getPath(), path(f"{folder}/in/{n}.txt"))
+
+    with ThreadPoolExecutor(8) as threads:
+        list(threads.map(rename, parts))
     return f"{folder}/in"
 
 
+def _files_a_batch(spark: SparkSession, folder: str, least: int) -> int:
+    """How many files a micro-batch takes, so that however many wait are dealt to
+    ``MICRO_BATCHES`` at most: each has its price, whatever it holds."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return max(least, -(-len(fs.listStatus(path)) // MICRO_BATCHES))
+
+
 def _batch_files(spark: SparkSession, sf_dir: str, folder: str) -> str:
     texts = lines_in.format_commands(event_commands(spark, sf_dir))
     return write_numbered(texts, folder, "batch_id", "seq")
@@ -66,8 +81,9 @@ def numbered_files_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replayed_files_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files replayed by number, line by line, and deleted as they are committed."""
     folder = scratch_folder(spark, "replayed-files")
+    path = _batch_files(spark, sf_dir, folder)
     files = replay.numbered_files(
-        spark, _batch_files(spark, sf_dir, folder), filesPerBatch=3, dispose="delete")
+        spark, path, filesPerBatch=_files_a_batch(spark, path, 3), dispose="delete")
     store = GraphStore(spark, f"{folder}/marks", "ordered", buckets=BUCKETS)
     jobs.until_caught_up(jobs.run_replay(
         files, store, f"{folder}/progress", {"processingTime": "0 seconds"}, ordered=True, compact_every=2))

@@ -20,6 +20,7 @@ from tidegraph.streaming.store import GraphStore
 
 _CAUGHT_UP = {"availableNow": True}
 BUCKETS = 8  # of a store of one run over one table
+MICRO_BATCHES = 12  # of a replay of many files, at most
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
