@@ -177,7 +177,7 @@ def streamed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         frames.write.mode("overwrite").parquet(f"{folder}/out/update={number}")
 
     jobs.until_caught_up(run_frames(
-        replay.numbered_files(spark, path, filesPerBatch=4), FrameStore(spark, f"{folder}/frames"), publish,
+        replay.numbered_files(spark, path, filesPerBatch=_files_a_batch(spark, path, 4)), FrameStore(spark, f"{folder}/frames"), publish,
         f"{folder}/progress", {"processingTime": "0 seconds"}))
     return spark.read.parquet(f"{folder}/out").select("frame", "frame_id", "frame_batch", F.col("value").alias("line"))
 
