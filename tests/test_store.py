@@ -242,6 +242,37 @@ def test_a_missing_number_is_waited_for_and_files_go_after_commit(spark, tmp_pat
     assert {"0.txt", "1.txt", "2.txt"} <= {p.name for p in (tmp_path / "used").iterdir()}
 
 
+def test_counts_after_each_file_of_a_micro_batch(spark, tmp_path):
+    """Files share micro-batches, edges live on from earlier ones, and one micro-batch
+    fails after its compaction and runs again."""
+    rows = random_rows(43, 270, ids=12, batch=20)
+    last = max(r[1] for r in rows)
+    write_numbered(tmp_path / "in", rows, range(last + 1))
+    store, failed = GraphStore(spark, str(tmp_path / "marks"), buckets=2), []
+
+    def after(s, number):
+        if number == 3 and not failed:
+            failed.append(number)
+            raise RuntimeError("stopped before the commit")
+
+    def run():
+        files = replay.numbered_files(spark, str(tmp_path / "in"), filesPerBatch=3)
+        jobs.until_caught_up(jobs.run_replay(
+            files, store, str(tmp_path / "progress"), SOON, compact_every=2, after_batch=after,
+            count_into=str(tmp_path / "series")))
+
+    with pytest.raises(Exception, match="before the commit"):
+        run()
+    run()
+    want = []
+    for b in range(last + 1):
+        vertices, edges = in_batches([r for r in rows if r[1] <= b])[:2]
+        want.append((b, len(edges), len(vertices)))
+    got = jobs.count_series_of(spark, str(tmp_path / "series")).orderBy("batch_id").collect()
+    assert [tuple(r) for r in got] == want
+    assert store.totals() == want[-1][1:]
+
+
 @pytest.mark.parametrize("files", [0, 10, 36, 1000])
 def test_a_replay_of_many_files_has_few_micro_batches(spark, tmp_path, files):
     for n in range(files):

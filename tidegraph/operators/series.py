@@ -126,16 +126,13 @@ def vertex_intervals(commands: DataFrame) -> DataFrame:
     )
 
 
-def count_series(commands: DataFrame, copies: bool = False) -> DataFrame:
-    """``(batch_id, n_edges, n_vertices)`` after each batch, removals first.
+def count_changes(commands: DataFrame, copies: bool = False) -> DataFrame:
+    """``(batch_id, n_edges, n_vertices)``: by how much each batch changes the counts,
+    removals first.
 
-    Every life of an edge or vertex counts +1 at its start and -1 at its end;
-    summed by batch these are few, and their running total is the series.
+    Every life of an edge or vertex counts +1 at its start and -1 at its end.
     Groups are per edge or vertex and batch, so no group is longer than there
     are batches, however hot a key is.
-
-    ``copies=True`` counts additions instead: an edge added in two batches
-    counts twice until it is removed, with all its copies.
     """
     edges, vertices = _lives(commands)
     if not copies:
@@ -158,14 +155,23 @@ def count_series(commands: DataFrame, copies: bool = False) -> DataFrame:
 
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     batches = commands.select("batch_id", none.alias("n_edges"), none.alias("n_vertices"))
-    per_batch = (
+    return (
         changes(edges, one, none)
         .unionByName(changes(vertices, none, one))
         .unionByName(batches)
         .groupBy("batch_id")
         .agg(F.sum("n_edges").alias("n_edges"), F.sum("n_vertices").alias("n_vertices"))
     )
-    return running_totals(per_batch, "batch_id", ["n_edges", "n_vertices"])
+
+
+def count_series(commands: DataFrame, copies: bool = False) -> DataFrame:
+    """``(batch_id, n_edges, n_vertices)`` after each batch, removals first: the running
+    total of :func:`count_changes`, which are few.
+
+    ``copies=True`` counts additions instead: an edge added in two batches
+    counts twice until it is removed, with all its copies.
+    """
+    return running_totals(count_changes(commands, copies), "batch_id", ["n_edges", "n_vertices"])
 
 
 def edge_copies(commands: DataFrame, mode: str = BATCH) -> DataFrame:

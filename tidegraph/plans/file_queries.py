@@ -94,13 +94,13 @@ def replayed_files_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_count_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts after each batch, kept up to date and never counted anew."""
     folder = scratch_folder(spark, "counted-stream")
-    files = replay.numbered_files(spark, _batch_files(spark, sf_dir, folder))
+    path = _batch_files(spark, sf_dir, folder)
+    files = replay.numbered_files(spark, path, filesPerBatch=_files_a_batch(spark, path, 1))
     store = GraphStore(spark, f"{folder}/marks", "batch", buckets=BUCKETS)
-    series: list[tuple[int, int, int]] = []
     jobs.until_caught_up(jobs.run_replay(
         files, store, f"{folder}/progress", {"processingTime": "0 seconds"}, compact_every=4,
-        after_batch=lambda s, number: series.append((number, *s.totals()))))
-    return jobs.count_series_of(series, spark)
+        count_into=f"{folder}/series"))
+    return jobs.count_series_of(spark, f"{folder}/series")
 
 
 _DAY = 86_400

@@ -144,20 +144,35 @@ def run_replay(
     ordered: bool = False,
     compact_every: int | None = None,
     after_batch: Callable[[GraphStore, int], None] | None = None,
+    count_into: str | None = None,
 ) -> StreamingQuery:
     """Keep a stored graph up to date with :func:`sources.replay.numbered_files`.
 
     The file number is the batch; with ``ordered`` the lines of a file apply in
     their order. Files are disposed of by the source, once their micro-batch has
     been committed.
+
+    With ``count_into``, a folder, the counts after each file are written there by
+    micro-batch, for :func:`count_series_of`; files must not apply line by line then.
     """
+    if count_into is not None:
+        if ordered:
+            raise ValueError("counts after each file need files that apply as a whole")
+        fs, path = store._fs(count_into)
+        fs.mkdirs(path)
 
     def store_batch(batch: DataFrame, number: int) -> None:
-        paths = [r["path"] for r in batch.collect()]  # as many as the source's filesPerBatch
+        files = batch.collect()  # as many as the source's filesPerBatch
+        paths = [r["path"] for r in files]
         if not paths:
             return
         commands = read_numbered_batches(batch.sparkSession, paths)
+        again = number <= store.manifest().pruned  # then its counts were written before
         store.append(_by_line(commands) if ordered else commands, number)
+        if count_into is not None and not again:
+            numbers = batch.sparkSession.createDataFrame([(r["number"],) for r in files], "batch_id long")
+            store.counts_within(commands, number, numbers).write.mode("overwrite").parquet(
+                f"{count_into}/update={number}")
         if compact_every and (number + 1) % compact_every == 0:
             store.compact(number)
             store.prune(keep_bases=2)
@@ -235,9 +250,10 @@ def until_caught_up(query: StreamingQuery) -> None:
         query.stop()
 
 
-def count_series_of(totals: list[tuple[int, int, int]], spark: SparkSession) -> DataFrame:
-    """``batch_id, n_edges, n_vertices`` of counts noted after each batch."""
-    return spark.createDataFrame(totals, "batch_id long, n_edges long, n_vertices long")
+def count_series_of(spark: SparkSession, folder: str) -> DataFrame:
+    """``batch_id, n_edges, n_vertices`` of the counts that :func:`run_replay` wrote."""
+    kept = "batch_id long, n_edges long, n_vertices long"
+    return spark.read.schema(kept).parquet(folder).select("batch_id", "n_edges", "n_vertices")
 
 
 def save_each_batch(root: str, every: int = 1) -> Callable[[GraphStore, int], None]:

@@ -40,7 +40,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.model import BATCH, DEFAULT_VERTEX_ATTR, EDGE_KEY, Graph, order_key, outlives
+from tidegraph.model import ADD_EDGE, ADD_NODE, BATCH, DEFAULT_VERTEX_ATTR, EDGE_KEY, Graph, order_key, outlives
 from tidegraph.operators.expiry import expired
 from tidegraph.operators.marks import (
     alive_vertices,
@@ -50,6 +50,7 @@ from tidegraph.operators.marks import (
     vertex_marks,
     with_endpoint_removals,
 )
+from tidegraph.operators.series import count_changes, running_totals
 
 EDGE_MARKS = "src bigint, attr string, dst bigint, last_add bigint, last_rmv bigint, last_add_ts {ts}"
 VERTEX_MARKS = "id bigint, last_add bigint, last_rmv bigint"
@@ -354,6 +355,37 @@ class GraphStore:
         levels = self.manifest().levels(upto)
         return sum(x.n_edges for x in levels), sum(x.n_vertices for x in levels)
 
+    def counts_within(self, commands: DataFrame, delta: int, batches: DataFrame) -> DataFrame:
+        """``batch_id, n_edges, n_vertices`` after each of the ``batches`` (``batch_id``, all
+        later than what was stored before) of a micro-batch whose commands have just
+        been appended.
+
+        The keys that the micro-batch touched are those of its tables. Those of them
+        that lived before it take part as if added then, and what follows is counted on
+        from the totals kept: no more of the state is looked at.
+        """
+        if self.mode != BATCH:
+            raise ValueError("counts within a micro-batch are those of the batch mode")
+        manifest = self.manifest()
+        state, level = manifest.levels(delta - 1), manifest.deltas[delta]
+        lived = []
+        for kind, key in (("edge", ["part", *EDGE_KEY]), ("vertex", ["id"])):
+            touched = self._read(kind, level, manifest.buckets).select(*key)
+            known = self._merged(manifest, kind, state).join(touched, key, "left_semi")
+            lived.append(known.filter(self._alive(F.col("last_add"), F.col("last_rmv"))))
+        none = F.lit(None)
+        columns = ["batch_id", "op", *EDGE_KEY]
+        rows = commands.select(*columns).unionByName(
+            lived[0].select(F.col("last_add").alias("batch_id"), F.lit(ADD_EDGE).alias("op"), *EDGE_KEY)
+        ).unionByName(lived[1].select(
+            F.col("last_add").alias("batch_id"), F.lit(ADD_NODE).alias("op"), F.col("id").alias("src"),
+            none.cast("string").alias("attr"), none.cast("bigint").alias("dst")))
+        sums = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n_edges", "n_vertices")]
+        changes = batches.join(count_changes(rows), "batch_id", "left").groupBy("batch_id").agg(*sums)
+        before = [sum(getattr(x, n) for x in state) for n in ("n_edges", "n_vertices")]
+        return running_totals(changes, "batch_id", ["n_edges", "n_vertices"]).select(
+            "batch_id", *[(F.col(n) + F.lit(b).cast("long")).alias(n) for n, b in zip(("n_edges", "n_vertices"), before)])
+
     def compact(
         self,
         upto: int,
