@@ -9,6 +9,7 @@ from collections import Counter
 
 import cases
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +205,43 @@ def test_pages_of_a_repeated_run_are_dealt_to_all_tasks(spark):
     assert "partial_count" in plan and "Window" not in plan
 
 
+def test_neighbours_of_sorted_suffixes_are_compared(spark):
+    blocks = ["a b c d e f g h i j", "b c d e f g h i x"]
+    starts = [s.tobytes() for s in html.suffixes(blocks)]
+    assert len(starts) == 12 and len(set(starts)) == 11
+    token = {w: s[:8] for w, s in zip("abcdefghij", starts)}
+    assert starts[1] == b"".join(token[w] for w in "bcdefghi") == starts[10]
+    near = b"".join(token[w] for w in "bcdj") + starts[0][:32]
+    assert list(html.common_prefixes(["h", "h", "h", "g"], [starts[1], starts[10], near, near])) == [8, 3, 0]
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 1000])
+def test_runs_go_on_over_batches_and_tasks(spark, size):
+    rng = random.Random(size)
+    rows = sorted({(rng.choice("gh"), b"%03d" % min(rng.randrange(90), rng.randrange(90)), b"%d" % rng.randrange(40))
+                   for _ in range(300)})
+    rows = sorted(rows + [("h", b"hub", b"%d" % i) for i in range(50)])
+    kinds = pa.schema([("host", pa.string()), ("start", pa.binary()), ("page", pa.binary())])
+    cuts = [0, *sorted(rng.sample(range(len(rows)), 7)), len(rows)]
+    found = Counter()
+    for a, b in zip(cuts, cuts[1:]):  # a task
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows[i : min(b, i + size)]), kinds)],
+                                       schema=kinds) for i in range(a, b, size)]
+        for part in html._runs(iter(batches)):
+            for run in part.to_pylist():
+                assert len(run["pages"]) <= html.LEAST_PAGES
+                found[run["host"], run["start"]] += len(run["pages"])
+    want = Counter((h, s) for h, s, _ in rows)
+    assert {k for k, n in found.items() if n >= html.LEAST_PAGES} == {
+        k for k, n in want.items() if n >= html.LEAST_PAGES}
+    table = spark.createDataFrame([(*r, 0, 0) for r in rows], html.SUFFIXES)
+    kept = html.repeated(table)
+    assert "rangepartitioning(host" in kept._jdf.queryExecution().executedPlan().toString()
+    assert {(r["host"], bytes(r["start"])) for r in kept.collect()} == {
+        k for k, n in want.items() if n >= html.LEAST_PAGES}
+
+
 def longest_repeats(pages, least_pages, least):
     """Tokens covered by strings of ``least`` tokens or more on several pages: for each
     place the longest string from there that other pages have, by trying."""
