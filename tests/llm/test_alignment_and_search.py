@@ -4,10 +4,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import cases
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +159,51 @@ def test_forgotten_words_are_encoded_again(monkeypatch):
     assert [alignment.spelled_groups(alignment.align([t], known))[0] for t in texts] == first
 
 
+@pytest.fixture
+def in_task(monkeypatch):
+    """Rows of batches in this process, as a task gives them."""
+    monkeypatch.setattr(alignment.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    paths = alignment.default_tokenizer(), alignment.default_pieces()
+
+    def rows(ids, texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+        return list(alignment._batch_rows(iter([batch]), paths))
+
+    return rows
+
+
+def test_memory_of_a_batch_goes_with_its_distinct_words(in_task):
+    rng = random.Random(2)
+    words = [f"{a}{b}" for a in ("over", "tion", "qu", "Ze", "ing") for b in range(100)]
+    texts = [" ".join(rng.choices(words, k=500)) for _ in range(600)]
+    in_task([1], ["the tokenizers, which are not counted"])
+    tracemalloc.start()
+    row, = in_task(range(600), texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(row["n_words"][0].as_py()) == 300_000 and len(row["links_of"][0]) == 500
+    assert peak < 100e6  # twice that and more, when every occurrence of a word is aligned
+
+
+def test_words_encoded_together_are_those_encoded_alone(monkeypatch):
+    paths = alignment.default_tokenizer(), alignment.default_pieces()
+    words = ["one", "don't", "\nhead", "tail\t", "x▁y", "\x00", "中文字", "é\n\nz", "ﬁ", "\x1cq", "\u3000", "one"]
+    words += [f"{a}{b}" for a in ("tion", "Ze", "😀", "２") for b in range(40)]
+    together, alone = alignment.Words(*paths), alignment.Words(*paths)
+    monkeypatch.setattr(alignment, "JOINED_WORDS", 64)
+    together.learn(words)
+    for word in dict.fromkeys(words):
+        alone[word] = alone.add(word)
+
+    def tokens(known, word):
+        n = known[word]
+        return [side.ids[side.starts[n] : side.starts[n + 1]].tolist() for side in known.sides], known.whole[n]
+
+    assert together.keys() == alone.keys() and len(together.whole) == len(together)
+    assert [tokens(together, w) for w in alone] == [tokens(alone, w) for w in alone]
+    assert not together.whole[together["x▁y"]] and together.whole[together["\nhead"]]
+
+
 # --- ranked search -----------------------------------------------------------
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")

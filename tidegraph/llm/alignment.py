@@ -2,17 +2,18 @@
 
 A is a byte-level vocabulary, B a piece model that puts a space before the text;
 both encode space and text without special tokens, so that their tokens cover the
-same bytes. Per batch of documents, ``pandas.merge_asof``, keyed by document,
-gives each token start the other side's covering token; the union of both
-directions holds every pair of tokens with overlapping bytes. Places where tokens
-of both sides end cut a document into groups.
+same bytes. Per batch of documents, ``pandas.merge_asof``, keyed by word, gives
+each token start the other side's covering token; the union of both directions
+holds every pair of tokens with overlapping bytes. Places where tokens of both
+sides end cut a document into groups.
 
 Neither tokenizer joins anything across a single blank between two characters
-that are no white space, so each distinct word is encoded once per worker; texts
-with other white space around blanks are encoded whole. What a word links to is
-the same wherever it occurs: a batch saves the links of each distinct word once,
-and its documents as word numbers. Counts of id pairs are summed per batch before
-they are shuffled, and go back to the batches that asked for them.
+that are no white space, so each distinct word is encoded once per worker, many
+new words in one call; texts with other white space around blanks are encoded
+whole, as one word. Tokens, links and groups of a word are the same wherever it
+occurs: a batch aligns each distinct word once, saves its links once, and its
+documents as word numbers. Counts of id pairs are summed per batch before they are
+shuffled, and go back to the batches that asked for them.
 
 Defined cases: a text that is null or empty, or whose bytes do not come back from
 both sides, has no tokens: zeros, and an empty string in place of the hash. A text
@@ -29,8 +30,9 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,6 +47,7 @@ from tidegraph.llm.workers import ship_package
 
 BATCH_CHARS = 1 << 21
 CACHED_WORDS = 400_000  # per worker; a bound on memory, not on the words handled
+JOINED_WORDS = 512  # new words encoded by one call
 BLANK = "▁"
 
 
@@ -68,11 +71,20 @@ class _Side:
     def clear(self) -> None:
         self.ids, self.starts = array("i"), array("q", [0])
 
-    def add(self, ids: list[int]) -> bytes:
-        self.ids.extend(ids)
-        self.starts.append(len(self.ids))
+    def spell(self, ids: list[int]) -> bytes:
         return b"".join(map(self.spelled.__getitem__, ids))
 
+    def cuts(self, ids: list[int], ends: np.ndarray) -> np.ndarray | None:
+        """How many of the ids end by each of some bytes, unless one reaches over."""
+        reached = np.cumsum(self.width[ids])
+        n = np.searchsorted(reached, ends, "right")
+        return n if n.all() and (reached[n - 1] == ends).all() else None
+
+    def add(self, ids: list[int], cuts: Iterable[int]) -> None:
+        before = len(self.ids)
+        self.ids.extend(ids)
+        self.starts.extend(before + n for n in cuts)
+
     def cut_back(self, words: int) -> None:
         del self.starts[words + 1 :]
         del self.ids[self.starts[-1] :]
@@ -91,7 +103,7 @@ def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Numbers of words; what is missing is encoded by both sides."""
+    """Numbers of words; what is not known is encoded by both sides."""
 
     # a blank next to white space or an end
     _UNEVEN = re.compile(r"\s[ ]|[ ]\s|\A[ ]|[ ]\Z")
@@ -127,21 +139,49 @@ class Words(dict):
         return bytes([int(byte[1], 16)]) if byte else name.replace(BLANK, " ").encode()
 
     def add(self, text: str) -> int:
-        a, b = self.sides
-        given = (" " + text).encode()
-        spelled_a, spelled_b = a.add(self._a(" " + text)), b.add(self._b(text))
-        self.whole.append(spelled_a == given == spelled_b)
+        whole, given = True, (" " + text).encode()
+        for side, ids in zip(self.sides, (self._a(" " + text), self._b(text))):
+            side.add(ids, [len(ids)])
+            whole &= side.spell(ids) == given
+        self.whole.append(whole)
         return len(self.whole) - 1
 
-    def __missing__(self, word: str) -> int:
-        self[word] = number = self.add(word)
-        return number
+    def learn(self, words: Iterable[str]) -> None:
+        """Number the words that are not known."""
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        # white space at an end would meet the blanks between words
+        even = [w for w in new if w and not (w[0].isspace() or w[-1].isspace())]
+        for at in range(0, len(even), JOINED_WORDS):
+            self._learn_joined(even[at : at + JOINED_WORDS])
+        for word in new:
+            if word not in self:
+                self[word] = self.add(word)
+
+    def _learn_joined(self, words: list[str]) -> None:
+        """Encode words as one text; in halves, if its bytes don't come back."""
+        if len(words) > 1:
+            text = " ".join(words)
+            given = (" " + text).encode()
+            ends = np.flatnonzero(np.frombuffer(given + b" ", np.uint8) == ord(" "))[1:]
+            both = [self._a(" " + text), self._b(text)]
+            cuts = [s.cuts(ids, ends) if s.spell(ids) == given else None for s, ids in zip(self.sides, both)]
+            if any(c is None for c in cuts):
+                self._learn_joined(words[: len(words) // 2])
+                self._learn_joined(words[len(words) // 2 :])
+                return
+            for side, ids, n in zip(self.sides, both, cuts):
+                side.add(ids, n.tolist())
+            self.update(zip(words, range(len(self.whole), len(self.whole) + len(words))))
+            self.whole.extend(b"\1" * len(words))
+        elif words:
+            self[words[0]] = self.add(words[0])
 
     def start(self) -> None:
-        """Forget the words if there are too many; between batches only."""
+        """Forget the texts encoded whole, which follow the words, and the words
+        too if they are too many; between batches only."""
         if len(self) > CACHED_WORDS:
             self.clear()
-            self.cut_back(0)
+        self.cut_back(len(self))
 
     def cut_back(self, words: int) -> None:
         del self.whole[words:]
@@ -149,15 +189,16 @@ class Words(dict):
             side.cut_back(words)
 
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The word numbers of all texts in turn, and how many each text has."""
-        found: list[np.ndarray | None] = []
-        for text in texts:
-            if not text or self._joins or self._UNEVEN.search(text):
-                found.append(None)
-                continue
-            words = text.split(" ")
-            some = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-            found.append(some)
+        """The word numbers of all texts in turn, and how many each text has. They
+        hold until the next call."""
+        self.start()
+        split = [
+            None if not text or self._joins or self._UNEVEN.search(text) else text.split(" ")
+            for text in texts
+        ]
+        self.learn(chain.from_iterable(filter(None, split)))
+        found = [w and np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in split]
+        del split
         whole = np.frombuffer(bytes(self.whole), bool)
         for i, some in enumerate(found):
             if some is None or not whole[some].all():
@@ -178,19 +219,17 @@ def _words(a_path: str, b_path: str) -> Words:
 
 @dataclass
 class Aligned:
-    """The tokens of a batch on both sides, their overlaps and common ends.
+    """The tokens of some documents on both sides, their overlaps and common ends.
 
-    ``a_doc, a_id, a_end`` (and ``b_...``) are by token, ends counted over the
-    bytes of the batch; ``link_a, link_b`` number the tokens of each overlapping
-    pair; ``a_last`` and ``b_last`` mark tokens that end a group.
+    ``a_doc, a_id, a_start`` (and ``b_...``) are by token, starts counted over the
+    bytes of all; ``link_a, link_b`` number the tokens of each overlapping pair;
+    ``a_last`` and ``b_last`` mark tokens that end a group.
     """
 
-    words: np.ndarray
-    n_words: np.ndarray
+    n_docs: int
     a_doc: np.ndarray
     a_id: np.ndarray
     a_start: np.ndarray
-    a_word: np.ndarray
     a_last: np.ndarray
     b_doc: np.ndarray
     b_id: np.ndarray
@@ -201,22 +240,24 @@ class Aligned:
     total: int
 
     def per_doc(self, doc: np.ndarray) -> np.ndarray:
-        return np.bincount(doc, minlength=len(self.n_words))
+        return np.bincount(doc, minlength=self.n_docs)
 
 
 def align(texts: list[str | None], known: Words) -> Aligned:
     """Align the tokens of some texts."""
-    known.start()
-    words, n_words = known.numbers(texts)
-    doc_of_word = np.repeat(np.arange(len(texts)), n_words)
+    return _aligned(*known.numbers(texts), known)
+
+
+def _aligned(words: np.ndarray, n_words: np.ndarray, known: Words) -> Aligned:
+    """Align the tokens of documents that are sequences of words."""
+    doc_of_word = np.repeat(np.arange(len(n_words)), n_words)
     sides = []
     for side in known.sides:
         ids, n = side.gather(words)
         ends = np.cumsum(side.width[ids])
         word = np.repeat(np.arange(len(words)), n)
-        sides.append((doc_of_word[word], ids, ends - side.width[ids], ends, word))
-    known.cut_back(len(known))  # texts encoded whole follow the words, and are not kept
-    (a_doc, a_id, a_start, a_end, a_word), (b_doc, b_id, b_start, b_end, _) = sides
+        sides.append((doc_of_word[word], ids, ends - side.width[ids], ends))
+    (a_doc, a_id, a_start, a_end), (b_doc, b_id, b_start, b_end) = sides
     left = pd.DataFrame({"at": a_start, "doc": a_doc, "a": np.arange(len(a_id))})
     right = pd.DataFrame({"at": b_start, "doc": b_doc, "b": np.arange(len(b_id))})
     over_a = pd.merge_asof(left, right, on="at", by="doc")["b"].to_numpy(np.int64)
@@ -229,7 +270,7 @@ def align(texts: list[str | None], known: Words) -> Aligned:
     ends = np.zeros(total + 1, np.uint8)
     ends[a_end] = 1
     ends[b_end] |= 2
-    return Aligned(words, n_words, a_doc, a_id, a_start, a_word, ends[a_end] == 3, b_doc, b_id, b_start,
+    return Aligned(len(n_words), a_doc, a_id, a_start, ends[a_end] == 3, b_doc, b_id, b_start,
                    ends[b_end] == 3, link_a, link_b, total)
 
 
@@ -278,6 +319,7 @@ def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
             ids.append(doc_id)
             texts.append(text)
             size += len(text or "") + 16
+        del batch  # the next one takes its place
         if texts:
             yield ids, texts
 
@@ -333,28 +375,51 @@ def _batch_rows(batches, paths):
     often it links each pair of ids."""
     known, part = _words(*paths), TaskContext.get().partitionId() << 32
     for number, (ids, texts) in enumerate(_some(batches)):
-        al = align(texts, known)
-        pairs, pair, n = np.unique(
-            al.a_id[al.link_a].astype(np.int64) << 32 | al.b_id[al.link_b],
-            return_inverse=True, return_counts=True)
-        # links lie inside words; those of a word's first occurrence stand for all
-        distinct, first, word = np.unique(al.words, return_index=True, return_inverse=True)
-        seat = np.full(len(al.words), -1, np.int64)
-        seat[first] = np.arange(len(distinct))
-        at = seat[al.a_word[al.link_a]]
-        chosen = np.flatnonzero(at >= 0)
-        chosen = chosen[np.argsort(at[chosen], kind="stable")]
-        hashes = [hashlib.sha256(g).hexdigest() if g else "" for g in spelled_groups(al)]
+        words, n_words = known.numbers(texts)
+        # tokens, links and groups lie inside words: each distinct one is aligned once
+        distinct, word = np.unique(words, return_inverse=True)
+        al = _aligned(distinct, np.ones(len(distinct), np.int64), known)
+        times = np.bincount(word, minlength=len(distinct))
+        of = al.a_doc[al.link_a]
+        pairs, pair = np.unique(
+            al.a_id[al.link_a].astype(np.int64) << 32 | al.b_id[al.link_b], return_inverse=True)
+        n = np.zeros(len(pairs), np.int64)
+        np.add.at(n, pair, times[of])
+        links = pair[np.argsort(of, kind="stable")].astype("<u4")
+        links_of = al.per_doc(of)
+        by_word = al.per_doc(al.a_doc), al.per_doc(al.b_doc), al.per_doc(al.a_doc[al.a_last]), links_of
+        spelled = spelled_groups(al)
+        del al, of, pair
         columns = [
-            part + number, ids, al.per_doc(al.a_doc), al.per_doc(al.b_doc),
-            al.per_doc(al.a_doc[al.a_last]), al.per_doc(al.a_doc[al.link_a]), hashes, al.n_words,
-            zlib.compress(word.astype("<u4").tobytes(), 1),
-            np.bincount(at[chosen], minlength=len(distinct)),
-            zlib.compress(pair[chosen].astype("<u4").tobytes(), 1), pairs, n,
+            part + number, ids, *(_summed(v[word], n_words) for v in by_word),
+            _hashes(spelled, word, n_words), n_words, zlib.compress(word.astype("<u4").tobytes(), 1),
+            links_of, zlib.compress(links.tobytes(), 1), pairs, n,
         ]
+        del spelled, links, word
         yield pa.RecordBatch.from_arrays(
-            [pa.array([c if not isinstance(c, np.ndarray) else c.tolist()], f.type)
-             for c, f in zip(columns, _BATCH)], schema=_BATCH)
+            [_one(c, f.type) for c, f in zip(columns, _BATCH)], schema=_BATCH)
+
+
+def _summed(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sums of the first ``n[0]`` values, of the next ``n[1]``, and so on."""
+    upto, ends = np.append(0, np.cumsum(values)), np.append(0, np.cumsum(n))
+    return upto[ends[1:]] - upto[ends[:-1]]
+
+
+def _hashes(spelled: list[bytes], word: np.ndarray, n_words: np.ndarray) -> list[str]:
+    """The hash of each document's groups, those of its words in turn."""
+    out, ends = [], np.cumsum(n_words)
+    for start, end in zip((ends - n_words).tolist(), ends.tolist()):
+        groups = b";".join(map(spelled.__getitem__, word[start:end].tolist()))
+        out.append(hashlib.sha256(groups).hexdigest() if groups else "")
+    return out
+
+
+def _one(value, kind: pa.DataType) -> pa.Array:
+    """A column of one row."""
+    if not pa.types.is_list(kind):
+        return pa.array([value], kind)
+    return pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), pa.array(value, kind.value_type))
 
 
 REPORT = (
@@ -376,14 +441,11 @@ def _report_rows(batches):
                 best[place] = is_best.to_numpy(zero_copy_only=False)
             links = np.frombuffer(zlib.decompress(row["links"].as_py()), "<u4")
             words = np.frombuffer(zlib.decompress(row["words"].as_py()), "<u4")
-            cuts = np.append(0, np.cumsum(row["links_of"].values.to_numpy()))
-            ends = np.append(0, np.cumsum(row["n_words"].values.to_numpy()))
-            sums = []
-            for value in (best, count):
-                upto = np.append(0, np.cumsum(value[links]))
-                by_word = upto[cuts[1:]] - upto[cuts[:-1]]
-                upto = np.append(0, np.cumsum(by_word[words]))
-                sums.append(pa.array(upto[ends[1:]] - upto[ends[:-1]], pa.int64()))
+            links_of, n_words = (row[k].values.to_numpy() for k in ("links_of", "n_words"))
+            sums = [
+                pa.array(_summed(_summed(v[links], links_of)[words], n_words), pa.int64())
+                for v in (best, count)
+            ]
             given = [row[k].values for k in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
             yield pa.RecordBatch.from_arrays(
                 [*given, *sums, row["groups_sha256"].values], names=[f.split()[0] for f in REPORT.split(", ")])
