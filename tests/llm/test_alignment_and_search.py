@@ -185,15 +185,50 @@ def test_memory_of_a_batch_goes_with_its_distinct_words(in_task):
     assert peak < 100e6  # twice that and more, when every occurrence of a word is aligned
 
 
+def test_a_batch_is_the_same_in_blocks(in_task, monkeypatch):
+    texts = [None, "", *TEXTS, "one two three one", cases.LONG[:3000], "one two  three", "three two"]
+    ids = [None, *range(1, len(texts))]
+    whole, = in_task(ids, texts)
+    for tokens in (1, 7, 300):
+        monkeypatch.setattr(alignment, "BLOCK_TOKENS", tokens)
+        blocks, = in_task(ids, texts)
+        assert blocks.equals(whole)
+
+
+def test_memory_of_uneven_texts_is_that_of_a_block(in_task):
+    rng = random.Random(3)
+    texts = ["  ".join(rng.choices(("over", "tion", "que", "Zebra"), k=500)) for _ in range(500)]
+    in_task([1], ["the tokenizers, which are not counted"])
+    tracemalloc.start()
+    row, = in_task(range(500), texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert row["n_words"][0].as_py() == [1] * 500
+    assert peak < 120e6
+
+
+def test_words_of_a_batch_that_failed_are_not_kept(monkeypatch):
+    known = alignment.Words(alignment.default_tokenizer(), alignment.default_pieces())
+    first = alignment.spelled_groups(alignment.align(["one two", "three  four"], known))
+    with monkeypatch.context() as patch:
+        patch.setattr(known, "_b", lambda text: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            alignment.align(["five six one"], known)
+    texts = ["six five", "one two", "three  four"]
+    assert alignment.spelled_groups(alignment.align(texts, known))[1:] == first
+
+
 def test_words_encoded_together_are_those_encoded_alone(monkeypatch):
     paths = alignment.default_tokenizer(), alignment.default_pieces()
     words = ["one", "don't", "\nhead", "tail\t", "x▁y", "\x00", "中文字", "é\n\nz", "ﬁ", "\x1cq", "\u3000", "one"]
     words += [f"{a}{b}" for a in ("tion", "Ze", "😀", "２") for b in range(40)]
     together, alone = alignment.Words(*paths), alignment.Words(*paths)
     monkeypatch.setattr(alignment, "JOINED_WORDS", 64)
-    together.learn(words)
-    for word in dict.fromkeys(words):
-        alone[word] = alone.add(word)
+    for word in words:
+        assert together[word] == together[word]
+        if word not in alone:
+            alone[word] = alone.add(word)
+    together.learn()
 
     def tokens(known, word):
         n = known[word]

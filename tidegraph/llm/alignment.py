@@ -32,7 +32,6 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,6 +47,7 @@ from tidegraph.llm.workers import ship_package
 BATCH_CHARS = 1 << 21
 CACHED_WORDS = 400_000  # per worker; a bound on memory, not on the words handled
 JOINED_WORDS = 512  # new words encoded by one call
+BLOCK_TOKENS = 1 << 16  # aligned at once, or one longer word
 BLANK = "▁"
 
 
@@ -91,9 +91,13 @@ class _Side:
 
     def gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a sequence of words, and how many each word has."""
-        starts = np.array(self.starts, np.int64)
-        n = starts[words + 1] - starts[words]
-        return np.array(self.ids, np.int32)[_ranges(starts[words], n)], n
+        n = self.counts(words)
+        at = _ranges(np.frombuffer(self.starts, np.int64)[words], n)
+        return np.frombuffer(self.ids, np.int32)[at], n
+
+    def counts(self, words: np.ndarray) -> np.ndarray:
+        starts = np.frombuffer(self.starts, np.int64)
+        return starts[words + 1] - starts[words]
 
 
 def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -133,6 +137,7 @@ class Words(dict):
         # a piece with a blank inside could reach over words
         self._joins = any(BLANK in n.lstrip(BLANK) for n in names)
         self.whole = bytearray()  # by word: whether the bytes come back
+        self.new: list[str] = []
 
     def _piece_bytes(self, name: str) -> bytes:
         byte = self._BYTE.fullmatch(name)
@@ -146,16 +151,22 @@ class Words(dict):
         self.whole.append(whole)
         return len(self.whole) - 1
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Number the words that are not known."""
-        new = [w for w in dict.fromkeys(words) if w not in self]
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)  # encoded when learnt
+        self.new.append(word)
+        return number
+
+    def learn(self) -> None:
+        """Encode the new words, which follow the others."""
+        new, at, self.new = self.new, 0, []
         # white space at an end would meet the blanks between words
-        even = [w for w in new if w and not (w[0].isspace() or w[-1].isspace())]
-        for at in range(0, len(even), JOINED_WORDS):
-            self._learn_joined(even[at : at + JOINED_WORDS])
-        for word in new:
-            if word not in self:
-                self[word] = self.add(word)
+        uneven = [i for i, w in enumerate(new) if w[:1].isspace() or w[-1:].isspace()]
+        for end in (*uneven, len(new)):
+            for some in range(at, end, JOINED_WORDS):
+                self._learn_joined(new[some : min(some + JOINED_WORDS, end)])
+            for word in new[end : end + 1]:
+                self.add(word)
+            at = end + 1
 
     def _learn_joined(self, words: list[str]) -> None:
         """Encode words as one text; in halves, if its bytes don't come back."""
@@ -171,16 +182,17 @@ class Words(dict):
                 return
             for side, ids, n in zip(self.sides, both, cuts):
                 side.add(ids, n.tolist())
-            self.update(zip(words, range(len(self.whole), len(self.whole) + len(words))))
             self.whole.extend(b"\1" * len(words))
-        elif words:
-            self[words[0]] = self.add(words[0])
+        else:
+            self.add(words[0])
 
     def start(self) -> None:
         """Forget the texts encoded whole, which follow the words, and the words
-        too if they are too many; between batches only."""
-        if len(self) > CACHED_WORDS:
+        too if they are too many, or a batch ended before they were encoded;
+        between batches only."""
+        if len(self) > min(CACHED_WORDS, len(self.whole)):
             self.clear()
+        self.new.clear()
         self.cut_back(len(self))
 
     def cut_back(self, words: int) -> None:
@@ -192,13 +204,15 @@ class Words(dict):
         """The word numbers of all texts in turn, and how many each text has. They
         hold until the next call."""
         self.start()
-        split = [
-            None if not text or self._joins or self._UNEVEN.search(text) else text.split(" ")
-            for text in texts
-        ]
-        self.learn(chain.from_iterable(filter(None, split)))
-        found = [w and np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in split]
-        del split
+        found: list[np.ndarray | None] = []
+        for text in texts:
+            if not text or self._joins or self._UNEVEN.search(text):
+                found.append(None)
+                continue
+            words = text.split(" ")
+            some = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            found.append(some)
+        self.learn()
         whole = np.frombuffer(bytes(self.whole), bool)
         for i, some in enumerate(found):
             if some is None or not whole[some].all():
@@ -378,28 +392,39 @@ def _batch_rows(batches, paths):
         words, n_words = known.numbers(texts)
         # tokens, links and groups lie inside words: each distinct one is aligned once
         distinct, word = np.unique(words, return_inverse=True)
-        al = _aligned(distinct, np.ones(len(distinct), np.int64), known)
         times = np.bincount(word, minlength=len(distinct))
-        of = al.a_doc[al.link_a]
-        pairs, pair = np.unique(
-            al.a_id[al.link_a].astype(np.int64) << 32 | al.b_id[al.link_b], return_inverse=True)
+        by_word, spelled, parts = np.zeros((4, len(distinct)), np.int64), [], [np.zeros((2, 0), np.int64)]
+        for at in _blocks(known.sides[0].counts(distinct)):
+            al = _aligned(distinct[at], np.ones(at.stop - at.start, np.int64), known)
+            of = al.a_doc[al.link_a]
+            order = np.argsort(of, kind="stable")
+            codes = al.a_id[al.link_a].astype(np.int64) << 32 | al.b_id[al.link_b]
+            parts.append(np.stack([codes, of + at.start])[:, order])
+            spelled += spelled_groups(al)
+            for i, some in enumerate((al.a_doc, al.b_doc, al.a_doc[al.a_last], of)):
+                by_word[i, at] = al.per_doc(some)
+        codes, of = np.concatenate(parts, axis=1)
+        pairs, pair = np.unique(codes, return_inverse=True)
         n = np.zeros(len(pairs), np.int64)
         np.add.at(n, pair, times[of])
-        links = pair[np.argsort(of, kind="stable")].astype("<u4")
-        links_of = al.per_doc(of)
-        by_word = al.per_doc(al.a_doc), al.per_doc(al.b_doc), al.per_doc(al.a_doc[al.a_last]), links_of
-        spelled = spelled_groups(al)
-        del al, of, pair
+        del parts, codes, of
         columns = [
             part + number, ids, *(_summed(v[word], n_words) for v in by_word),
             _hashes(spelled, word, n_words), n_words, zlib.compress(word.astype("<u4").tobytes(), 1),
-            links_of, zlib.compress(links.tobytes(), 1), pairs, n,
+            by_word[3], zlib.compress(pair.astype("<u4").tobytes(), 1), pairs, n,
         ]
-        del spelled, links, word
+        del spelled, pair, word
         yield pa.RecordBatch.from_arrays(
             [_one(c, f.type) for c, f in zip(columns, _BATCH)], schema=_BATCH)
 
 
+def _blocks(n: np.ndarray) -> Iterator[slice]:
+    """Slices of words that have some ``BLOCK_TOKENS`` tokens."""
+    block = np.cumsum(n) // BLOCK_TOKENS
+    cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-1)) if len(n) else np.zeros(1, int)
+    return map(slice, cuts[:-1].tolist(), cuts[1:].tolist())
+
+
 def _summed(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The sums of the first ``n[0]`` values, of the next ``n[1]``, and so on."""
     upto, ends = np.append(0, np.cumsum(values)), np.append(0, np.cumsum(n))
