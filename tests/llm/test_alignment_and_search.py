@@ -207,6 +207,16 @@ def test_memory_of_uneven_texts_is_that_of_a_block(in_task):
     assert peak < 120e6
 
 
+def test_long_words_are_not_encoded_together(monkeypatch):
+    known = alignment.Words(alignment.default_tokenizer(), alignment.default_pieces())
+    calls, encode = [], known._b
+    monkeypatch.setattr(known, "_b", lambda text: calls.append(len(text)) or encode(text))
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeé", k=3000)) for _ in range(40)]
+    alignment.align([" ".join(words[:20]), " ".join(words[20:]), " ".join(f"w{i}" for i in range(2000))], known)
+    assert max(calls) < 3 * 3000 and len(calls) < 100
+
+
 def test_words_of_a_batch_that_failed_are_not_kept(monkeypatch):
     known = alignment.Words(alignment.default_tokenizer(), alignment.default_pieces())
     first = alignment.spelled_groups(alignment.align(["one two", "three  four"], known))
@@ -223,7 +233,7 @@ def test_words_encoded_together_are_those_encoded_alone(monkeypatch):
     words = ["one", "don't", "\nhead", "tail\t", "x▁y", "\x00", "中文字", "é\n\nz", "ﬁ", "\x1cq", "\u3000", "one"]
     words += [f"{a}{b}" for a in ("tion", "Ze", "😀", "２") for b in range(40)]
     together, alone = alignment.Words(*paths), alignment.Words(*paths)
-    monkeypatch.setattr(alignment, "JOINED_WORDS", 64)
+    monkeypatch.setattr(alignment, "JOINED_CHARS", 400)
     for word in words:
         assert together[word] == together[word]
         if word not in alone:

@@ -46,7 +46,7 @@ from tidegraph.llm.workers import ship_package
 
 BATCH_CHARS = 1 << 21
 CACHED_WORDS = 400_000  # per worker; a bound on memory, not on the words handled
-JOINED_WORDS = 512  # new words encoded by one call
+JOINED_CHARS = 1 << 12  # of new words encoded by one call, or one longer word
 BLOCK_TOKENS = 1 << 16  # aligned at once, or one longer word
 BLANK = "▁"
 
@@ -106,6 +106,13 @@ def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum()), dtype=np.int64) + np.repeat(starts - before, n)
 
 
+def _blocks(n: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of words whose numbers add up to some ``most``, more with a large one."""
+    block = np.cumsum(n) // most
+    cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-1)) if len(n) else np.zeros(1, int)
+    return map(slice, cuts[:-1].tolist(), cuts[1:].tolist())
+
+
 class Words(dict):
     """Numbers of words; what is not known is encoded by both sides."""
 
@@ -162,8 +169,9 @@ class Words(dict):
         # white space at an end would meet the blanks between words
         uneven = [i for i, w in enumerate(new) if w[:1].isspace() or w[-1:].isspace()]
         for end in (*uneven, len(new)):
-            for some in range(at, end, JOINED_WORDS):
-                self._learn_joined(new[some : min(some + JOINED_WORDS, end)])
+            even = new[at:end]
+            for some in _blocks(np.array([len(w) + 1 for w in even]), JOINED_CHARS):
+                self._learn_joined(even[some])
             for word in new[end : end + 1]:
                 self.add(word)
             at = end + 1
@@ -394,7 +402,7 @@ def _batch_rows(batches, paths):
         distinct, word = np.unique(words, return_inverse=True)
         times = np.bincount(word, minlength=len(distinct))
         by_word, spelled, parts = np.zeros((4, len(distinct)), np.int64), [], [np.zeros((2, 0), np.int64)]
-        for at in _blocks(known.sides[0].counts(distinct)):
+        for at in _blocks(known.sides[0].counts(distinct), BLOCK_TOKENS):
             al = _aligned(distinct[at], np.ones(at.stop - at.start, np.int64), known)
             of = al.a_doc[al.link_a]
             order = np.argsort(of, kind="stable")
@@ -418,13 +426,6 @@ def _batch_rows(batches, paths):
             [_one(c, f.type) for c, f in zip(columns, _BATCH)], schema=_BATCH)
 
 
-def _blocks(n: np.ndarray) -> Iterator[slice]:
-    """Slices of words that have some ``BLOCK_TOKENS`` tokens."""
-    block = np.cumsum(n) // BLOCK_TOKENS
-    cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-1)) if len(n) else np.zeros(1, int)
-    return map(slice, cuts[:-1].tolist(), cuts[1:].tolist())
-
-
 def _summed(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The sums of the first ``n[0]`` values, of the next ``n[1]``, and so on."""
     upto, ends = np.append(0, np.cumsum(values)), np.append(0, np.cumsum(n))
